@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 from inkstream.llm.contamination import leaked_items
 from inkstream.llm.encoding import Vocabulary, encoded
+from inkstream.llm.lookalikes import one_form, same_look_pairs
 from inkstream.llm.neardup import near_duplicates, pairs_of
+from inkstream.llm.toxicity import THRESHOLD, rates, scored
 from inkstream.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_look_pairs(table(spark, sf_dir, "wikipedia_articles"), "id", ["title", "text"])
+
+
+def p2_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_form(table(spark, sf_dir, "wikipedia_articles").select("id", "title", "text"), ["title", "text"])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_of(p3_classes(spark, sf_dir).withColumnRenamed("pid", "id")).withColumnsRenamed({"id_a": "pid_a", "id_b": "pid_b"})
 
@@ -35,5 +45,17 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_passages(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("shared").alias("most_shared"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_ids, p7_found, p7_passages, p7_items)}
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"), carry=("source",))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(p8_scores(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_one_form, p3_found, p3_classes, p6_ids, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)}
 ORACLE: dict[str, str] = {}
