@@ -9,10 +9,19 @@ from inkstream.llm.contamination import leaked_items
 from inkstream.llm.encoding import Vocabulary, encoded
 from inkstream.llm.lookalikes import one_form, same_look_pairs
 from inkstream.llm.neardup import near_duplicates, pairs_of
+from inkstream.llm.subjects import classified, composition, subjects_of
 from inkstream.llm.toxicity import THRESHOLD, rates, scored
 from inkstream.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects_of(classified(table(spark, sf_dir, "wikipedia_articles"), table(spark, sf_dir, "subject_labels")))
+
+
+def p1_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return composition(p1_found(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(table(spark, sf_dir, "wikipedia_articles"), "id", ["title", "text"])
 
@@ -57,5 +66,5 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates(p8_scores(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_one_form, p3_found, p3_classes, p6_ids, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_composition, p2_found, p2_one_form, p3_found, p3_classes, p6_ids, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)}
 ORACLE: dict[str, str] = {}
