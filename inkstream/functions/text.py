@@ -86,9 +86,14 @@ def tokens(c: Column) -> Column:
 
 def bigrams(c: Column) -> Column:
     """Pairs of neighbouring letters or numbers of the lower-cased text; a text of one gives that one."""
-    s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"[^{WORD}]+", "")
-    n = F.length(s)
-    return F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(s)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2))))
+    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"[^{WORD}]+", "")
+
+    def pairs(chars: Column) -> Column:
+        n = F.size(chars)
+        return F.when(n < 2, chars).otherwise(F.zip_with(F.slice(chars, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, y: F.concat(x, y)))
+
+    # the outer array binds the characters, so that they are made once a row
+    return F.element_at(F.transform(F.array(F.filter(F.split(plain, ""), lambda x: x != "")), pairs), 1)
 
 
 def snippet(c: Column, n: int = 300) -> Column:
@@ -102,5 +107,5 @@ def has_html(c: Column) -> Column:
 
 def format_size(n: Column) -> Column:
     """Bytes as B, KB or MB with one decimal."""
-    one = lambda x, unit: F.concat(F.format_string("%.1f", x), F.lit(unit))
+    one = lambda x, unit: F.concat(F.replace(F.format_number(x, 1), F.lit(","), F.lit("")), F.lit(unit))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, one(n / 1024, " KB")).otherwise(one(n / (1024 * 1024), " MB"))

@@ -51,7 +51,7 @@ def distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
         long = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
         return np.round(1 - np.divide(product, long, out=np.zeros_like(product), where=long > 0), 9)
     if metric == "l2":
-        return np.round(np.sqrt(np.maximum((queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * product, 0)), 9)
+        return np.round(np.stack([np.sqrt(((rows - q) ** 2).sum(1)) for q in queries]), 9)
     return np.round(-product, 9)
 
 

@@ -17,7 +17,7 @@ def mean_vector(interactions: DataFrame, vectors: DataFrame) -> DataFrame:
     """
     counted = interactions.where("user_id is not null and id is not null").groupBy("user_id", "id").agg(F.count("*").alias("n"))
     parts = counted.join(vectors, "id").select("user_id", "n", F.posexplode(doubles(F.col("embedding"))).alias("dim", "x"))
-    dims = parts.groupBy("user_id", "dim").agg(F.round(F.sum(F.col("x") * F.col("n")) / F.sum("n"), 6).alias("x"))
+    dims = parts.groupBy("user_id", "dim").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
     return dims.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("embedding"))
 
 
