@@ -118,6 +118,8 @@ class Chain:
     links: list[np.ndarray]
     scale: list[np.ndarray]
     k: int
+    low: np.ndarray
+    high: np.ndarray
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
@@ -132,11 +134,12 @@ class Chain:
                 out[fold == f] = linear(z[fold == f], logistic(z[fold != f], labels[fold != f, j]))
             links.append(logistic(z, labels[:, j]))
             scale.append(logistic(out[:, None], labels[:, j], 0.01))
-        return cls(order, links, scale, k)
+        return cls(order, links, scale, k, x.min(0), x.max(0))
 
     def decode(self, x: np.ndarray, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """The likeliest label combination of each row and its probability, by beam search along the chain."""
-        n = len(x)
+        # features beyond those that were learned from count as the outermost of them
+        n, x = len(x), np.clip(x, self.low, self.high)
         beams, score = np.zeros((n, 1, self.k)), np.zeros((n, 1))
         for at, j in enumerate(self.order):
             b = beams.shape[1]
