@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from inkstream.llm.crf import BITS, Model, Segments, features, segment_scores, segments, train
 
-OFFENDING, CLEAN = 3000, 4000
+OFFENDING, CLEAN = 2000, 3000
 TURNS, ROUNDS = 3, 40
 THRESHOLD = 0.3
 
