@@ -90,7 +90,7 @@ def segments(column: pa.Array) -> Segments:
     inner = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
     new |= inner % LONGEST == 0
     start = np.flatnonzero(new)
-    return Segments(raw.astype(np.int64), place, start, np.diff(np.append(start, len(raw))), row[start])
+    return Segments(raw.astype(np.int32), place.astype(np.int32), start, np.diff(np.append(start, len(raw))), row[start])
 
 
 def _hash(parts: list[np.ndarray], salt: int) -> np.ndarray:
@@ -113,7 +113,7 @@ def features(s: Segments) -> tuple[np.ndarray, np.ndarray]:
     left = np.repeat(s.size, s.size) - inner
     near = {}
     for k in range(-3, 4):
-        moved = np.zeros(n, np.int64)
+        moved = np.zeros(n, np.int32)
         if k < 0:
             moved[-k:] = s.tokens[:k]
             moved[inner < -k] = 1
@@ -123,7 +123,9 @@ def features(s: Segments) -> tuple[np.ndarray, np.ndarray]:
         else:
             moved = s.tokens
         near[k] = moved
-    local = np.stack([_hash([near[k] for k in range(a, b + 1)], i + 1) for i, (a, b) in enumerate(WINDOWS)], axis=1)
+    local = np.empty((n, len(WINDOWS)), np.int32)
+    for i, (a, b) in enumerate(WINDOWS):
+        local[:, i] = _hash([near[k] for k in range(a, b + 1)], i + 1)
     return local, _hash([near[-1], near[0]], 99)
 
 
@@ -144,7 +146,9 @@ class Model:
     threshold: float = 0.5
 
     def scores(self, s: Segments, local: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        e = self.weights[local].sum(1) + self.bias
+        e = np.full(len(s.tokens), self.bias)
+        for j in range(local.shape[1]):
+            e += self.weights[local[:, j]]
         if len(s.size):
             e += np.repeat(np.add.reduceat(self.overall[whole], s.start) / np.sqrt(s.size), s.size)
         return np.clip(e, -25, 25)

@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from inkstream.llm.codepoints import CharMap, decode, encode
 
-# Letters, dots and hyphens of one shape in several blocks.
+# Letters, ideographs, dots and hyphens of one shape in several blocks.
 SAME_SHAPE = dict(
     zip(
-        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹοϲϳ" "АВЕЅІЈКМНОРСТХԌԚԜ" "аеорсухѕіјһԁԛԝ",
-        "ABEZHIKMNOPTYXCocj" "ABESIJKMHOPCTXGQW" "aeopcyxsijhdqw",
+        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹοϲϳ" "АВЕЅІЈКМНОРСТХԌԚԜҮѴӀ" "аеорсухѕіјһԁԛԝѵӏ" "⺠⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻢⻣⻤⻥⻦⻧⻨⻩⻬⻮⻰",
+        "ABEZHIKMNOPTYXCocj" "ABESIJKMHOPCTXGQWYVI" "aeopcyxsijhdqwvl" "民虎西见角贝车长门青韦页风飞马骨鬼鱼鸟卤麦黄齐齿龙",
     )
 )
 SAME_SHAPE |= dict.fromkeys("·‧∙⋅・･", "·") | dict.fromkeys("‐‑−﹣－", "-")
@@ -45,7 +45,7 @@ SAME_BLOCKS = [(0x2160, 0x217F), (0x2E80, 0x2FDF)]
 def plain_char(c: str) -> str:
     """What stands for one character, decomposed."""
     p, kind = ord(c), unicodedata.category(c)
-    if kind == "Cf" or any(a <= p <= b for a, b in NO_GLYPH):
+    if kind == "Cf" or (kind == "Cc" and c not in "\t\n\x0b\x0c\r\x85") or any(a <= p <= b for a, b in NO_GLYPH):
         return ""
     if kind == "Zs":
         return " "

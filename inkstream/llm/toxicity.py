@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from inkstream.llm.crf import BITS, Model, Segments, features, segment_scores, segments, train
 
-OFFENDING, CLEAN = 2000, 3000
+OFFENDING, CLEAN = 3000, 5000
 TURNS, ROUNDS = 3, 40
-THRESHOLD = 0.3
+THRESHOLD = 0.4
 
 
 def sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[list[str], np.ndarray]:
