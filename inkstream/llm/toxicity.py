@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from inkstream.llm.crf import BITS, Model, Segments, features, segment_scores, segments, train
 
 OFFENDING, CLEAN = 3000, 5000
-TURNS, ROUNDS = 3, 40
+TURNS, ROUNDS = 5, 30
 THRESHOLD = 0.4
 
 
@@ -82,7 +82,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model | None:
         model = train(part, np.repeat(tagged[use].astype(float), part.size), np.where(np.isin(use, hard), 4.0, 1.0), ROUNDS, model)
         score = segment_scores(s, model.marginals(s, model.scores(s, local, whole))[0])
         tagged = offending & ((score > 0.5) | (score >= best_of_row(score, s.row, len(y))) & (score > 0.2))
-        hard = np.flatnonzero(~offending & (score > 0.15))
+        hard = np.union1d(hard, np.flatnonzero(~offending & (score > 0.15)))
     return model
 
 
