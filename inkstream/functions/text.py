@@ -87,13 +87,8 @@ def tokens(c: Column) -> Column:
 def bigrams(c: Column) -> Column:
     """Pairs of neighbouring letters or numbers of the lower-cased text; a text of one gives that one."""
     plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"[^{WORD}]+", "")
-
-    def pairs(chars: Column) -> Column:
-        n = F.size(chars)
-        return F.when(n < 2, chars).otherwise(F.zip_with(F.slice(chars, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, y: F.concat(x, y)))
-
-    # the outer array binds the characters, so that they are made once a row
-    return F.element_at(F.transform(F.array(F.filter(F.split(plain, ""), lambda x: x != "")), pairs), 1)
+    # a match consumes one character and captures two; the outer array binds the text, so that it is made once a row
+    return F.element_at(F.transform(F.array(plain), lambda s: F.when(s == "", F.array().cast("array<string>")).when(F.length(s) == 1, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit("(?s)(?=(..))."), F.lit(1)))), 1)
 
 
 def snippet(c: Column, n: int = 300) -> Column:

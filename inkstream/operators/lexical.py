@@ -16,25 +16,28 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``postings (term, doc, tf)``, ``lengths (doc, dl)``, ``corpus (n_docs, avgdl)`` and ``terms (term, df, idf)``."""
+    """``split (doc, terms)``, ``corpus (n_docs, avgdl)`` and ``terms (term, df, idf)``."""
 
-    postings: DataFrame
-    lengths: DataFrame
+    split: DataFrame
     corpus: DataFrame
     terms: DataFrame
 
+    def postings(self, only: DataFrame | None = None) -> DataFrame:
+        """``(term, doc, dl, tf)``, of the terms of ``only (term)`` if given: others are dropped before anything is counted or shuffled."""
+        each = self.split.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+        each = each if only is None else each.join(only.select("term").distinct(), "term", "left_semi")
+        return each.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
+
 
 def build_index(docs: DataFrame, tokenize: Callable[[Column], Column] = tokens, doc: str = "doc", text: str = "text") -> LexicalIndex:
     """Term statistics of all documents. A term in more than half of them gets ``EPSILON`` of the mean idf."""
     split = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text)).alias("terms"))
-    lengths = split.select("doc", F.size("terms").cast("bigint").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = split.select("doc", F.explode("terms").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    corpus = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avgdl"))
+    df = split.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(corpus)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, lengths, corpus, terms)
+    return LexicalIndex(split, corpus, terms)
 
 
 def index_stats(index: LexicalIndex) -> DataFrame:
@@ -45,8 +48,7 @@ def scores(index: LexicalIndex, queries: DataFrame, tokenize: Callable[[Column],
     """``(qid, doc, score)`` of ``queries (qid, text)`` for all documents that share a term; a repeated query token counts again."""
     asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     weighed = asked.join(index.terms, "term")
-    # only the asked terms' postings go on to the join with the queries
-    used = index.postings.join(weighed.select("term").distinct(), "term", "left_semi").join(index.lengths, "doc").join(F.broadcast(index.corpus.select("avgdl")))
+    used = index.postings(asked).join(F.broadcast(index.corpus.select("avgdl")))
     tf = F.col("tf")
     part = used.select("term", "doc", (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
     return weighed.join(part, "term").groupBy("qid", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("w")), 6).alias("score"))

@@ -15,6 +15,7 @@ from inkstream.functions import chunks, prompts, text
 from inkstream.functions.hanzi import SIMPLIFIED, TRADITIONAL, to_simplified
 from inkstream.operators import dense, documents, eda, evaluate, fusion, generation, lexical, profile
 from inkstream.session import cut, table
+from inkstream.sources import files
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -147,6 +148,11 @@ def passage_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.passage_batch(table(spark, sf_dir, "passage_collection").select("pid", "text"), "pid", "10000500", 100).select("pid", "text")
 
 
+@query(f"SELECT substring(v, 1, instr(v, chr(9)) - 1) AS pid, substring(v, instr(v, chr(9)) + 1) AS text FROM (SELECT {sql_strip('raw_line')} AS v FROM raw_lines) WHERE contains(v, chr(9))")
+def tsv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.parse_tsv(table(spark, sf_dir, "raw_lines").select(F.col("raw_line").alias("value")), ("pid", "text"), header=False)
+
+
 @query("SELECT count(*) AS n_pairs, count(DISTINCT qid) AS n_queries FROM (SELECT DISTINCT qid, pid FROM qrels_retrieval_dev WHERE qid IS NOT NULL AND pid IS NOT NULL)")
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "qrels_retrieval_dev").select("qid", "pid").where("qid is not null and pid is not null").distinct()
@@ -451,6 +457,18 @@ def eval_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics(_ranked(spark, sf_dir), evaluate.relevant(_judged(spark, sf_dir), 2), _questions(spark, sf_dir))
 
 
+_NORMAL = sql_strip("lower(" + sql_clean("text") + ")")
+
+
+@query(f"WITH {_BM25_BIGRAMS.replace(_QUESTIONS, f'asked_before AS ({_QUESTIONS[len('questions AS ('):-1]}), questions AS (SELECT qid, {_NORMAL} AS text FROM asked_before)')}, {_JUDGED}, {_LIST} SELECT 'mrr' AS metric, mrr AS after FROM ({_sql_metrics('list', 'judged', 'questions')})")
+def rewrite_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reciprocal rank with normalised queries in place of the raw ones."""
+    after = _questions(spark, sf_dir).withColumn("text", text.normalize_text(text.clean_text(F.col("text"))))
+    docs = _passages(spark, sf_dir)
+    ranked = lexical.top_k(lexical.scores(lexical.build_index(docs, text.bigrams), after, text.bigrams), after, docs).withColumnRenamed("doc", "id")
+    return evaluate.metrics(ranked, evaluate.relevant(_judged(spark, sf_dir), 2), after).select(F.lit("mrr").alias("metric"), F.col("mrr").alias("after"))
+
+
 _TYPED = f"typed AS (SELECT qid, {ORACLE['classify_query'].split('SELECT qid, ')[1].split(' AS result')[0]} AS query_type FROM questions)"
 
 
