@@ -4,15 +4,10 @@ from pyspark.sql import functions as F
 from inkstream.functions.chunks import SEPARATORS, chunk_rows, fixed_chunks, recursive_chunks, sentence_chunks, split_recursive
 
 
-def py_fixed(text, size, overlap):
-    out, start = [], 0
-    while text and start < len(text):
-        end = min(start + size, len(text))
-        out += [text[start:end].strip()] if text[start:end].strip() else []
-        if end == len(text):
-            break
-        start = end - overlap
-    return out
+def windows(text, size, overlap):
+    text = text or ""
+    starts = range(0, max(len(text) - overlap, 1), size - overlap)
+    return [w for w in (text[s : s + size].strip() for s in starts) if w]
 
 
 @pytest.mark.parametrize("size,overlap", [(10, 3), (5, 0), (1, 0), (256, 20)])
@@ -20,7 +15,7 @@ def test_fixed(spark, size, overlap):
     texts = [None, "", "a", "a" * size, "b" * (size + 1), " " * 40, "你好，世界。" * 9, "x" + " " * 30 + "y", "😀" * 33]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fixed_chunks(F.col("t"), size, overlap).alias("c")).collect()
     for r in rows:
-        assert r["c"] == py_fixed(texts[r["i"]], size, overlap)
+        assert r["c"] == windows(texts[r["i"]], size, overlap)
 
 
 def test_bad_overlap():

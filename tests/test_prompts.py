@@ -13,24 +13,15 @@ def test_classify(spark, question, kind):
     assert spark.createDataFrame([(question,)], "q string").select(prompts.classify_query(F.col("q"))).first()[0] == kind
 
 
-def py_trim(texts, limit=3000):
-    total, out = 0, []
-    for t in texts:
-        if total + len(t) > limit:
-            if limit - total > 200:
-                out.append(t[: limit - total] + "...")
-            break
-        out.append(t)
-        total += len(t)
-    return out
-
-
-@pytest.mark.parametrize("sizes", [[3000], [3001], [2799, 500], [2800, 500], [1000, 1000, 1000, 5], [2900, 500, 50], [3000, 10, 10], [10, 20], [2500, 600, 600, 10]])
-def test_trim(spark, sizes):
-    texts = [chr(97 + i) * n for i, n in enumerate(sizes)]
-    rows = [("q", i + 1, f"s{i}", t) for i, t in enumerate(texts)]
+@pytest.mark.parametrize(
+    "sizes,kept",
+    [([3000], [3000]), ([3001], [3003]), ([2799, 500], [2799, 204]), ([2800, 500], [2800]), ([1000, 1000, 1000, 5], [1000, 1000, 1000]), ([2900, 500, 50], [2900]), ([3000, 10, 10], [3000]), ([10, 20], [10, 20]), ([2500, 600, 600, 10], [2500, 503]), ([0, 3100], [0, 3003])],
+)
+def test_trim(spark, sizes, kept):
+    rows = [("q", i + 1, f"s{i}", chr(97 + i) * n) for i, n in enumerate(sizes)]
     got = prompts.trim_context(spark.createDataFrame(rows, "qid string, rank int, source string, content string")).orderBy("rank").collect()
-    assert [r["content"] for r in got] == py_trim(texts)
+    assert [len(r["content"]) for r in got] == kept
+    assert all(r["content"].rstrip(".") == chr(96 + r["rank"]) * len(r["content"].rstrip(".")) for r in got)
 
 
 def test_prompt_keeps_braces_of_passages(spark):
