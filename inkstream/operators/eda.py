@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstream.functions.text import has_html, strip_tags
+from inkstream.functions.text import has_html
 
 
 def basic_stats(rows: DataFrame) -> DataFrame:
@@ -82,7 +82,3 @@ def report(documents: DataFrame, log: DataFrame) -> DataFrame:
         one = part.select(F.struct("*").alias(name))
         out = one if out is None else out.join(F.broadcast(one))
     return out.select(F.to_json(F.struct(*parts)).alias("report"))
-
-
-def without_tags(collection: DataFrame) -> DataFrame:
-    return collection.withColumn("text", strip_tags(F.col("text")))
