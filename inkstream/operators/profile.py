@@ -49,8 +49,14 @@ def recent_context(log: DataFrame, user: str, text: str, turns: int, *newest_fir
 
 
 def rerank(candidates: DataFrame, training: DataFrame, features: list[str], label: str, k: int = 5, seed: int = 7) -> DataFrame:
-    """The ``k`` best ``candidates (qid, id, features)`` of each query by boosted trees that were trained on ``training``."""
+    """The ``k`` best ``candidates (qid, id, features)`` of each query by boosted trees that were trained on ``training``; without training rows all score 0."""
+    if training.isEmpty():
+        return _first(candidates.withColumn("score", F.lit(0.0)), k)
     assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
     model = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="_p", maxIter=10, maxDepth=3, seed=seed).fit(assembler.transform(training))
     scored = model.transform(assembler.transform(candidates)).withColumn("score", F.round("_p", 6)).drop("_features", "_p")
+    return _first(scored, k)
+
+
+def _first(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

@@ -134,3 +134,11 @@ def test_users(spark):
     assert profile.recent(seen, 2, "t").where("user_id = 7").agg(F.min("t")).first()[0] == 3
     log = spark.createDataFrame([("u", "一", 1), ("u", "二", 2), ("u", None, 3), ("u", "三", 4), ("u", "四", 5), (None, "x", 1)], "u string, q string, t int")
     assert [tuple(r) for r in profile.recent_context(log, "u", "q", 3, "t").collect()] == [("u", "二\n三\n四")]
+
+
+def test_rerank(spark):
+    rows = spark.createDataFrame([("q", f"d{i}", float(i % 2), float(i)) for i in range(20)], "qid string, id string, a double, rel double").withColumn("rel", F.col("a"))
+    got = profile.rerank(rows, rows, ["a"], "rel", 3).orderBy("rank").collect()
+    assert [r["id"] for r in got] == ["d1", "d11", "d13"]
+    assert [r["id"] for r in profile.rerank(rows, rows.limit(0), ["a"], "rel", 1).collect()] == ["d0"]
+    assert profile.rerank(rows.limit(0), rows.limit(0), ["a"], "rel").count() == 0
