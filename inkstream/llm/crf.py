@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from inkstream.functions.hanzi import SIMPLIFIED, TRADITIONAL
+from inkstream.functions.hanzi import FREQUENT, FREQUENT_SIMPLIFIED
 from inkstream.llm.codepoints import CharMap, decode
 
 BITS = 18
@@ -23,7 +23,7 @@ QUOTE, COMMA, END, DOT = ord('"'), ord(","), ord("\n"), ord(".")
 LONGEST = 200
 
 
-SIMPLE = dict(zip(TRADITIONAL, SIMPLIFIED))
+SIMPLE = dict(zip(FREQUENT, FREQUENT_SIMPLIFIED))
 
 
 def _token(c: str) -> str:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from inkstream.functions import text
+from inkstream.functions import hanzi, text
 
 # (raw text, cleaned, as wiki text)
 CASES = [
@@ -75,3 +75,33 @@ def test_format_size(spark):
     sizes = [0, 1023, 1024, 24832, 1048575, 1048576, 10**10, None]
     want = [None if n is None else f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1024**2 else f"{n / 1024**2:.1f} MB" for n in sizes]
     assert [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(text.format_size(F.col("n"))).collect()] == want
+
+
+@pytest.mark.parametrize(
+    ("traditional", "simplified"),
+    [
+        ("溫度計顯示氣溫繼續上升，證據與圖表標明強度恢復。", "温度计显示气温继续上升，证据与图表标明强度恢复。"),
+        ("節目報導：參觀鐵橋的機會單純難得，夠寬闊。", "节目报导：参观铁桥的机会单纯难得，够宽阔。"),
+        ("臺灣歷史學會擬於龜山鎮舉辦藝術展覽，鄉親踴躍參與。", "台湾历史学会拟于龟山镇举办艺术展览，乡亲踊跃参与。"),
+        ("衹擡峯麪", "只抬峰面"),
+        ("著名的俱乐部、大阪、慰藉、姊妹、摔跤、哪吒、苎麻", "著名的俱乐部、大阪、慰藉、姊妹、摔跤、哪吒、苎麻"),
+        ("简体中文没有变化，English 123", "简体中文没有变化，English 123"),
+        (None, None),
+        ("", ""),
+    ],
+)
+def test_simplified_sentences(spark, traditional, simplified):
+    df = spark.createDataFrame([(traditional,)], "t string").select(hanzi.to_simplified(F.col("t")).alias("s"))
+    assert df.first()["s"] == simplified
+
+
+def test_simplified_frequent_characters():
+    """All characters that GB2312 lacks and Big5 lists as frequent, but for rare ones without another form."""
+
+    def has(c, encoding):
+        return c.encode(encoding, "ignore")
+
+    known = set(hanzi.TRADITIONAL)
+    assert len(known) == len(hanzi.TRADITIONAL) == len(hanzi.SIMPLIFIED) and known & set(hanzi.SIMPLIFIED) <= {"苧"}
+    frequent = [c for c in map(chr, range(0x4E00, 0xA000)) if b"" < has(c, "big5") < b"\xc9\x40" and not has(c, "gb2312")]
+    assert sum(c in known for c in frequent) >= 0.9 * len(frequent)
