@@ -2,10 +2,11 @@
 
 Similarity is that of the sets of distinct ``n``-character sequences of the folded texts (shared / in either).
 
-Each text gets ``BANDS`` bucket keys of ``ROWS`` minhash values each, and a signature of 128 one-bit minhashes. Texts
-that share a bucket are compared by the Hamming distance of their signatures, all of a bucket at once on bit planes;
-pairs within ``RADIUS`` are checked on their texts. Two texts of similarity 0.7 miss all buckets in 1 of 700 cases, of
-0.8 in 1 of 300,000; at 0.6 their distance is 26 +- 4.5.
+Each text gets bucket keys of a few minhash values each, and a signature of 128 one-bit minhashes. Texts that share a
+bucket are compared by the Hamming distance of their signatures, all of a bucket at once on bit planes; pairs within a
+radius are checked on their texts. ``Bands.of`` derives buckets, values and radius from the least similarity, so that a
+pair exactly there is missed with a chance of at most ``MISSED`` (1 of 1,000), a more similar one with less. At 0.6 that
+is 29 buckets of 3 values and radius 44: 1 of 1,100 pairs is missed at 0.6, 1 of 10,000 at 0.65, 1 of 190,000 at 0.7.
 
 Result cases
     null, empty, short texts   in no group: their class is their own id, without links
@@ -19,7 +20,10 @@ Result cases
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,9 @@ from inkstream.llm.codepoints import decode, encode, grams
 from inkstream.llm.folding import folder, without_markup
 from inkstream.session import cut
 
-BANDS, ROWS, SIGNATURE = 24, 4, 128
-RADIUS = 44
+SIGNATURE = 128
+#: Share of the pairs of exactly the least similarity that may be missed, a tenth of it by the radius.
+MISSED = 0.001
 #: Buckets of more texts are compared in blocks of so many.
 BLOCK = 16_384
 #: From this size on a bucket is compared by itself.
@@ -43,6 +48,40 @@ STEP = 400_000
 MULTIPLIERS = np.random.default_rng(20240229).integers(0, 1 << 32, SIGNATURE, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
+@dataclass(frozen=True)
+class Bands:
+    """``count`` buckets of ``rows`` minhash values, and the largest distance of signatures that are looked at."""
+
+    count: int
+    rows: int
+    radius: int
+
+    @classmethod
+    def of(cls, share: float) -> Bands:
+        """The most values a bucket, so the fewest chance meetings, that the signature's values suffice for."""
+        if not 0 < share <= 1:
+            raise ValueError(f"share is {share}, not above 0 and at most 1")
+        for rows in range(8, 0, -1):
+            met = share**rows
+            count = 1 if met == 1 else math.ceil(math.log(0.9 * MISSED) / math.log1p(-met))
+            if count * rows <= SIGNATURE:
+                return cls(count, rows, cls._radius(share))
+        raise ValueError(f"share is {share}: {SIGNATURE} minhash values can't find pairs of so little in common")
+
+    @staticmethod
+    def _radius(share: float) -> int:
+        differ, total = (1 - share) / 2, 0.0
+        for d in range(SIGNATURE + 1):
+            total += math.comb(SIGNATURE, d) * differ**d * (1 - differ) ** (SIGNATURE - d)
+            if total >= 1 - 0.1 * MISSED:
+                return d
+        return SIGNATURE
+
+
+#: The radius at the similarity that the operator asks by default.
+RADIUS = Bands.of(0.6).radius
+
+
 def minhashes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """``(rows, SIGNATURE)`` minhash values of non-empty rows of n-gram values."""
     low = (values >> np.uint64(32)).astype(np.uint32)
@@ -69,7 +108,7 @@ def _folded(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray,
     return long, points[np.repeat(sizes >= least, sizes)], np.concatenate([[0], np.cumsum(sizes[long])])
 
 
-def sign(texts: DataFrame, n: int, least: int) -> DataFrame:
+def sign(texts: DataFrame, n: int, least: int, bands: Bands) -> DataFrame:
     """``(id, rid, s0, s1, bands)`` of each text that is long enough; ``rid`` is the folded text's hash."""
     kind = texts.schema["id"].dataType.simpleString()
 
@@ -80,18 +119,18 @@ def sign(texts: DataFrame, n: int, least: int) -> DataFrame:
                 continue
             low = minhashes(*grams(points, offsets, n))
             bits = np.packbits((low >> np.uint32(7) & np.uint32(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
-            key = np.zeros((len(low), BANDS), np.uint64)
-            for k in range(ROWS):
-                key = (key ^ low[:, k * BANDS : (k + 1) * BANDS]) * np.uint64(0x9E3779B97F4A7C15)
+            key = np.zeros((len(low), bands.count), np.uint64)
+            for k in range(bands.rows):
+                key = (key ^ low[:, k * bands.count : (k + 1) * bands.count]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
             keys = (key >> np.uint64(32)).astype(np.uint32)
-            bands = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BANDS * 4), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long)), pa.array(text_hash(encode(points, offsets))), pa.array(bits[:, 0]), pa.array(bits[:, 1]), bands], names=["id", "rid", "s0", "s1", "bands"])
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bands.count * 4), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long)), pa.array(text_hash(encode(points, offsets))), pa.array(bits[:, 0]), pa.array(bits[:, 1]), packed], names=["id", "rid", "s0", "s1", "bands"])
 
     return texts.mapInArrow(run, f"id {kind}, rid bigint, s0 bigint, s1 bigint, bands binary")
 
 
-def spread(signed: DataFrame) -> DataFrame:
+def spread(signed: DataFrame, bands: Bands) -> DataFrame:
     """``(key, rid, s0, s1)``: a row per text and bucket. Copies within a batch are sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +140,8 @@ def spread(signed: DataFrame) -> DataFrame:
             if not len(first):
                 continue
             once = batch.take(pa.array(first))
-            keys = np.frombuffer(b"".join(once.column(3).to_pylist()), np.uint32).reshape(len(first), BANDS).astype(np.int64) | (np.arange(BANDS, dtype=np.int64) << 32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(once.column(c).to_numpy(), BANDS)) for c in range(3))], names=["key", "rid", "s0", "s1"])
+            keys = np.frombuffer(b"".join(once.column(3).to_pylist()), np.uint32).reshape(len(first), bands.count).astype(np.int64) | (np.arange(bands.count, dtype=np.int64) << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(once.column(c).to_numpy(), bands.count)) for c in range(3))], names=["key", "rid", "s0", "s1"])
 
     return signed.select("rid", "s0", "s1", "bands").mapInArrow(run, "key bigint, rid bigint, s0 bigint, s1 bigint")
 
@@ -119,17 +158,17 @@ def _rows(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None, block: np
     )
 
 
-def _links(rid: np.ndarray, s: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _links(rid: np.ndarray, s: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
     """Links within buckets of rows that follow each other."""
     start = np.cumsum(sizes) - sizes
     found = []
     few = (sizes > 1) & (sizes <= LARGE)
     rows = np.flatnonzero(np.repeat(few, sizes))
-    for x, y in near_in_buckets(s[rows].view(np.uint64), sizes[few], RADIUS):
+    for x, y in near_in_buckets(s[rows].view(np.uint64), sizes[few], radius):
         found.append((rid[rows[x]], rid[rows[y]]))
     for i in np.flatnonzero(sizes > LARGE):
         own = slice(start[i], start[i] + sizes[i])
-        for x, y in near_across(s[own].view(np.uint64), s[own].view(np.uint64), RADIUS):
+        for x, y in near_across(s[own].view(np.uint64), s[own].view(np.uint64), radius):
             found.append((rid[own][x[x < y]], rid[own][y[x < y]]))
     if found:
         pairs = np.sort(np.stack([np.concatenate(c) for c in zip(*found)]), axis=0)
@@ -142,7 +181,7 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, rid, np.stack([s0, s1], axis=1)
 
 
-def compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare_sorted(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """Links of rows sorted by key and rid. A bucket of more than ``BLOCK`` texts isn't held: its rows pass on with a block number."""
     key, rid, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.int64)
     hot, sent, last = None, 0, None
@@ -164,17 +203,17 @@ def compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (rid[1:] != rid[:-1])])
         key, rid, s = key[new], rid[new], s[new]
         at = int(np.searchsorted(key, key[-1]))
-        yield from _links(rid[:at], s[:at], np.unique(key[:at], return_counts=True)[1])
+        yield from _links(rid[:at], s[:at], np.unique(key[:at], return_counts=True)[1], radius)
         key, rid, s = key[at:], rid[at:], s[at:]
         if len(key) > BLOCK:
             hot, sent, last = key[0], len(key), rid[-1]
             yield _rows(rid, None, key, np.arange(len(key)) // BLOCK, s)
             key, rid, s = key[:0], rid[:0], s[:0]
     if len(key):
-        yield from _links(rid, s, np.array([len(key)]))
+        yield from _links(rid, s, np.array([len(key)]), radius)
 
 
-def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare_blocks(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """Links between two blocks of a hot bucket; rows ``(side, rid, s0, s1, key, i, j)`` sorted by key, i, j, side."""
     held: list[tuple] = []
     now = None
@@ -183,7 +222,7 @@ def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         side, rid, s = (np.concatenate(c) for c in zip(*held))
         left = side == 0
         same = now[1] == now[2]
-        for x, y in near_across(s[left].view(np.uint64), s[left if same else ~left].view(np.uint64), RADIUS):
+        for x, y in near_across(s[left].view(np.uint64), s[left if same else ~left].view(np.uint64), radius):
             a, b = rid[left][x], rid[left if same else ~left][y]
             take = a < b if same else slice(None)
             yield _rows(np.minimum(a, b)[take], np.maximum(a, b)[take])
@@ -204,15 +243,15 @@ def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from done()
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: the texts whose signatures share a bucket and differ in ``RADIUS`` bits at most."""
-    first = cut(spread(signed).repartition("key").sortWithinPartitions("key", "rid").mapInArrow(compare_sorted, LINKS))
+def candidates(signed: DataFrame, bands: Bands) -> DataFrame:
+    """``(a, b)``, a < b: the texts that share a bucket and whose signatures differ in the radius at most."""
+    first = cut(spread(signed, bands).repartition("key").sortWithinPartitions("key", "rid").mapInArrow(partial(compare_sorted, radius=bands.radius), LINKS))
     links, hot = first.where("b is not null").select("a", "b"), first.where("b is null").select("key", "block", F.col("a").alias("rid"), "s0", "s1")
     if not hot.isEmpty():
         last = hot.groupBy("key").agg(F.max("block").alias("last"))
         pairs = F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("bigint").alias("side")))
         cells = hot.join(last, "key").withColumn("p", F.explode(pairs)).select("p.side", "rid", "s0", "s1", "key", F.col("p.i").cast("bigint").alias("i"), F.col("p.j").cast("bigint").alias("j"))
-        more = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(compare_blocks, LINKS)
+        more = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(partial(compare_blocks, radius=bands.radius), LINKS)
         links = links.unionByName(more.select("a", "b"))
     return links.distinct()
 
@@ -267,8 +306,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(rows: DataFrame, id_col: str, text_col: str, n: int = 4, share: float = 0.6, least: int = 30) -> DataFrame:
     """``(id, class_id, n_links)``, one row per id and text: the class is named by its least id, ``n_links`` counts the different texts linked to the row's text."""
     texts = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), without_markup(F.col(text_col)).alias("text"))
-    signed = cut(sign(texts.where("text <> ''"), n, least))
-    pairs = cut(candidates(signed))
+    bands = Bands.of(share)
+    signed = cut(sign(texts.where("text <> ''"), n, least, bands))
+    pairs = cut(candidates(signed, bands))
     of_text = signed.select("id", "rid").distinct()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     named = of_text.join(asked, "rid", "left_semi").groupBy("rid").agg(F.min("id").alias("id"))

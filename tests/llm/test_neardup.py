@@ -103,3 +103,29 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (101, 103), (7, 7)]
     got = {r["v"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 104), 100)}
+
+
+def at_similarity(share, n, grams=200, seed=11):
+    """``n`` pairs of random texts that have in common just the share of their four-character sequences, at least."""
+    rng = random.Random(seed)
+    some = lambda k: "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(k))
+    same = -(-2 * grams * share // (1 + share))
+    for i in range(n):
+        start = some(int(same) + 3)
+        yield from ((f"{2 * i:08d}", start + some(grams - int(same))), (f"{2 * i + 1:08d}", start + some(grams - int(same))))
+
+
+@pytest.mark.parametrize(("share", "of_pairs"), [(0.6, 0.6), (0.6, 0.65), (0.6, 0.7), (0.3, 0.3), (0.8, 0.8)])
+def test_recall_at_the_threshold(spark, share, of_pairs):
+    n = 2000
+    df = spark.createDataFrame(list(at_similarity(of_pairs, n)), "pid string, text string")
+    found = pairs_of(near_duplicates(df, "pid", "text", share=share)).collect()
+    assert all(int(a) // 2 == int(b) // 2 for a, b in found)
+    assert len(found) >= 0.996 * n
+
+
+def test_share_without_a_plan():
+    assert neardup.Bands.of(1.0).count == 1
+    for share in (0.0, -0.5, 1.5, 0.01):
+        with pytest.raises(ValueError):
+            neardup.Bands.of(share)
