@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstream.operators.documents import numbered
+from inkstream.operators.generation import Encoder, embed
+from inkstream.session import cut
 
 #: Queries whose vectors are sent to the tasks at once.
 BLOCK = 2048
@@ -101,6 +103,13 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cos
     return reduce(DataFrame.unionByName, parts)
 
 
+def search_texts(docs: DataFrame, queries: DataFrame, encoder: Encoder, k: int = 10) -> DataFrame:
+    """``(qid, id, score, rank)``: the ``k`` texts of ``docs (doc, text)`` nearest to each of ``queries (qid, text)`` by the encoder's vectors; the score is the cosine."""
+    index = cut(docs.select(F.col("doc").alias("id"), embed(F.col("text"), encoder).alias("embedding")))
+    asked = cut(queries.select("qid", embed(F.col("text"), encoder).alias("embedding")))
+    return search(index, asked, k).select("qid", "id", F.round(1 - F.col("distance"), 9).alias("score"), "rank")
+
+
 def above(hits: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Hits of at least that cosine similarity."""
     return hits.where(F.round(1 - F.col("distance"), 9) >= threshold)

@@ -140,11 +140,17 @@ class HashingEncoder:
     dimension: int = 64
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension))
+        out, size = np.zeros((len(texts), self.dimension)), self.dimension
+        places: dict[str, int] = {}
         for i, t in enumerate(texts):
-            for a in range(max(len(t) - 1, 0)):
-                h = int.from_bytes(hashlib.blake2b(t[a : a + 2].encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dimension] += 1 if h >> 63 else -1
+            if len(places) > 200_000:
+                places.clear()
+            own = [t[a : a + 2] for a in range(len(t) - 1)]
+            for pair in set(own).difference(places):
+                h = int.from_bytes(hashlib.blake2b(pair.encode(), digest_size=8).digest(), "little")
+                places[pair] = h % size + (size if h >> 63 else 0)
+            counts = np.bincount(np.array([places[pair] for pair in own], np.int64), minlength=2 * size)
+            out[i] = counts[size:] - counts[:size]
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
 

@@ -401,7 +401,10 @@ _BM25, _BM25_BIGRAMS = _sql_bm25(sql_tokens), _sql_bm25(sql_bigrams)
 
 
 def _ranked(spark: SparkSession, sf_dir: str, split=text.bigrams, k: int = 10) -> DataFrame:
-    docs, asked = _passages(spark, sf_dir), _questions(spark, sf_dir)
+    return _bm25(_passages(spark, sf_dir), _questions(spark, sf_dir), split, k)
+
+
+def _bm25(docs: DataFrame, asked: DataFrame, split, k: int) -> DataFrame:
     return lexical.top_k(lexical.scores(lexical.build_index(docs, split), asked, split), asked, docs, k).withColumnRenamed("doc", "id")
 
 
@@ -539,6 +542,27 @@ def pool_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.pool(list(_two(spark, sf_dir)))
 
 
+def _hybrid(spark: SparkSession, sf_dir: str, encoder: generation.Encoder | None = None) -> tuple[DataFrame, DataFrame]:
+    """The 50 best passages by BM25 and the 50 nearest by the encoder's vectors."""
+    docs, asked = cut(_passages(spark, sf_dir)), cut(_questions(spark, sf_dir))
+    return _bm25(docs, asked, text.bigrams, 50), dense.search_texts(docs, asked, encoder or generation.HashingEncoder(), 50)
+
+
+@query()
+def hybrid_rrf_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.reciprocal_rank(list(_hybrid(spark, sf_dir)))
+
+
+@query()
+def hybrid_weighted_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.weighted(*_hybrid(spark, sf_dir))
+
+
+@query()
+def pool_union_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.pool(list(_hybrid(spark, sf_dir)))
+
+
 @query()
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, asked = _vectors(spark, sf_dir), _asked(spark, sf_dir)
