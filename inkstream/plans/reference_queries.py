@@ -504,6 +504,23 @@ def eval_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.delta(eval_dense(spark, sf_dir), eval_bm25(spark, sf_dir))
 
 
+_REWRITTEN = _BM25_BIGRAMS.replace(_QUESTIONS, f"asked_before AS ({_QUESTIONS[len('questions AS ('):-1]}), questions AS (SELECT qid, {_NORMAL} AS text FROM asked_before)")
+
+
+@query("WITH " + ", ".join(f"{name} AS (WITH {lists}, {_JUDGED}, {_LIST} {_sql_metrics('list', 'judged', 'questions')})" for name, lists in (("base", _BM25_BIGRAMS), ("ours", _REWRITTEN))) + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, base.{m} AS base, ours.{m} AS ours, round(ours.{m} - base.{m}, 6) AS delta FROM base, ours" for m in _M))
+def rewrite_uplift_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at each k and the reciprocal rank of raw queries (base) and of normalised ones (ours) against one index."""
+    docs, before = cut(_passages(spark, sf_dir)), cut(_questions(spark, sf_dir))
+    after = before.withColumn("text", text.normalize_text(text.clean_text(F.col("text"))))
+    index, judged = lexical.build_index(docs, text.bigrams), evaluate.relevant(_judged(spark, sf_dir), 2)
+
+    def metrics(asked: DataFrame) -> DataFrame:
+        ranked = lexical.top_k(lexical.scores(index, asked, text.bigrams), asked, docs).withColumnRenamed("doc", "id")
+        return evaluate.metrics(ranked, judged, asked)
+
+    return evaluate.delta(metrics(after), metrics(before))
+
+
 @query(f"""WITH {_BM25_BIGRAMS}, {_LIST}, graded AS (SELECT qid, pid AS id, max(rel) AS rel FROM qrels_retrieval_dev WHERE qid IS NOT NULL AND pid IS NOT NULL GROUP BY ALL),
 ideal AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, id) AS best FROM graded WHERE rel > 0),
 got AS (SELECT qid, {', '.join(f'sum(CASE WHEN rank <= {k} THEN (pow(2, rel) - 1) / log2(rank + 1) END) AS dcg_{k}' for k in (5, 10))} FROM list JOIN graded USING (qid, id) GROUP BY qid),
