@@ -30,7 +30,22 @@ def test_repeated_rows_and_round_trip(spark):
 
 
 def test_long_text_is_cut(spark):
-    df = spark.createDataFrame([(1, "ab cd, " * 500), (2, "z" * 3000)], "key long, text string")
+    df = spark.createDataFrame([(1, "ab cd, " * 500), (2, "z" * 3000), (3, "z" * 300 + " ab, cd" * 200 + "z" * 300)], "doc_id long, text string")
     pieces = stitched_pieces(df, Vocabulary.read().pattern, 64, 16)
-    by = {r["key"]: r for r in pieces.groupBy("key").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("most")).collect()}
+    by = {r["doc_id"]: r for r in pieces.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("most")).collect()}
     assert by[1]["n"] > 40 and by[1]["most"] < 160 and by[2]["n"] == 1
+    # a joint without a boundary only joins its neighbours
+    assert by[3]["n"] > 15 and by[3]["most"] < 420
+
+
+def test_random_texts_and_chunk_sizes(spark):
+    import random
+
+    rng, t = random.Random(4), Tokenizer.from_file(str(tokenizer_folder() / "byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    bits = ["'re", "'", "r", "e", " ", "  ", "\n", "好", "12", "!", "\u00a0", "\x1c", "é", "ab", "\u3000", "'s", "😀", "-" * 9, "z" * 9]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 300)))) for i in range(150)]
+    df = spark.createDataFrame([*rows, (None, rows[3][1] * 9)], "doc_id long, text string")
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in [*rows, (None, rows[3][1] * 9)]}
+    for chunk, overlap in ((20, 6), (50, 20), (9, 8)):
+        assert {r["doc_id"]: r["ids"] for r in encoded(df, Vocabulary.read(), chunk_chars=chunk, overlap=overlap).collect()} == want
