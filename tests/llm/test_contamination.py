@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from inkstream.llm import contamination
 from inkstream.llm.codepoints import fold_text
 from inkstream.llm.contamination import leaked_items
 
@@ -25,7 +28,9 @@ def tables(spark):
     return docs, items
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("slots", [24, 8])
+def test_equals_brute_force(spark, monkeypatch, slots):
+    monkeypatch.setattr(contamination, "SLOTS", slots)
     docs, items = tables(spark)
     want, sets = set(), {}
     for i, t in items:
@@ -38,11 +43,29 @@ def test_equals_brute_force(spark):
         want |= {(d, i) for i, x in sets.items() if x and len(s & x) >= 0.3 * len(x)}
     d = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, shingle int").repartition(5)
     i = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, rank string")
-    for chars in (2_000_000, 500):
-        got = leaked_items(d, i, item_chars=chars).collect()
-        assert {(r["doc_id"], r["item_id"]) for r in got if r["doc_id"] is not None} == {w for w in want if w[0] is not None}
+    for most in (200_000, 0):
+        got = leaked_items(d, i, most_tokens=most).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == {w for w in want if w[0] is not None}
         for r in got:
-            assert r["doc_id"] is None or r["shared"] == len(of[r["doc_id"]] & sets[r["item_id"]])
+            assert r["shared"] == len(of[r["doc_id"]] & sets[r["item_id"]])
+
+
+def test_item_split_over_rows_of_one_document(spark):
+    rng = random.Random(2)
+    item = "".join(chr(0x4E00 + k) for k in rng.sample(range(5000), 111))
+    docs = [(1, item[:31]), (1, item[40:71]), (2, item[:31]), (3, item[:31] + "。" + item[40:71])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    i = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["shared"]) for r in leaked_items(d, i, share=0.4).collect()}
+    assert got == {(1, 40), (3, 40)}
+
+
+def test_densest_window(spark):
+    rng = random.Random(3)
+    item, other = ("".join(chr(0x4E00 + k) for k in rng.sample(range(a, a + 3000), 60)) for a in (0, 4000))
+    d = spark.createDataFrame([(1, item[:25] + other * 3 + item[20:])], "doc_id long, text string")
+    r = leaked_items(d, spark.createDataFrame([(7, item)], "item_id long, text string")).first()
+    assert (r["shared"], r["item_shingles"], r["start"]) == (43, 49, 25 + 180)
 
 
 def test_empty(spark):
