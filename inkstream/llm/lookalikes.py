@@ -12,7 +12,7 @@ Result cases
     text of invisible characters only   the empty text
     repeated rows     one row of an id and value counts
     very long texts   no limit
-    hot value         values are compared by hashes; only pairs that differ in code points are formed
+    hot value         values are compared by hashes; ``same_look_classes`` has a row per id; pairs are formed between spellings, in cells
     clashing names    only the named columns are read or replaced
 """
 
@@ -22,21 +22,26 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.codepoints import CharMap, decode, encode
+from inkstream.llm.codepoints import CharMap, composer, decode, encode
+from inkstream.llm.pairs import block_of, blocks, join_hot
 
-# Letters, ideographs, dots and hyphens of one shape in several blocks.
-SAME_SHAPE = dict(
-    zip(
-        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹοϲϳ" "АВЕЅІЈКМНОРСТХԌԚԜҮѴӀ" "аеорсухѕіјһԁԛԝѵӏ" "⺠⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻢⻣⻤⻥⻦⻧⻨⻩⻬⻮⻰",
-        "ABEZHIKMNOPTYXCocj" "ABESIJKMHOPCTXGQWYVI" "aeopcyxsijhdqwvl" "民虎西见角贝车长门青韦页风飞马骨鬼鱼鸟卤麦黄齐齿龙",
-    )
+# Letters of other alphabets and numerals, each followed by the letter or ideograph of the same shape.
+SAME_LETTERS = (
+    "ΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧXϹCοoϲcϳj" "АAВBЕEЅSІIЈJКKМMНHОOРPСCТTХXԌGԚQԜWҮYѴVӀI" "аaеeоoрpсcуyхxѕsіiјjһhԁdԛqԝwѵvӏl"
+    "ꓐBꓑPꓓDꓔTꓖGꓗKꓙJꓚCꓜZꓝFꓟMꓠNꓡLꓢSꓣRꓦVꓪWꓫXꓬYꓮAꓰEꓲIꓳOꓴU" "օoɡgµμ" "〸十〹卄〺卅"
 )
-SAME_SHAPE |= dict.fromkeys("·‧∙⋅・･", "·") | dict.fromkeys("‐‑−﹣－", "-")
+# Radicals of U+2E80-2EF3, each followed by the ideograph of the same shape; forms without one are left out.
+SAME_RADICALS = (
+    "⺁厂⺅亻⺆冂⺉刂⺊卜⺋㔾⺎兀⺏尣⺐尢⺒巳⺓幺⺔彑⺖忄⺗㣺⺘扌⺙攵⺛旡⺜日⺝月⺞歺⺠民⺡氵⺢氺⺣灬⺤爫⺦丬⺨犭⺫罒⺬示⺭礻⺮𥫗⺯糹⺰纟⺱罓⺲罒⺳㓁⺹耂⺾艹⻁虎⻂衤⻃覀⻄西⻅见⻆角⻈讠⻉贝⻊𧾷⻋车"
+    "⻌辶⻏阝⻐钅⻑長⻒镸⻓长⻔门⻖阝⻗雨⻘青⻙韦⻚页⻛风⻜飞⻝食⻟飠⻠饣⻢马⻣骨⻤鬼⻥鱼⻦鸟⻧卤⻨麦⻩黄⻪黾⻫斉⻬齐⻭歯⻮齿⻯竜⻰龙⻱龜⻲亀"
+)
+SAME_SHAPE = dict(zip(SAME_LETTERS[::2], SAME_LETTERS[1::2])) | dict(zip(SAME_RADICALS[::2], SAME_RADICALS[1::2]))
+SAME_SHAPE |= dict.fromkeys("·‧∙⋅・･", "·") | dict.fromkeys("‐‑−﹣－", "-")
 # Marks without a glyph that aren't format characters.
 NO_GLYPH = [(0xFE00, 0xFE0F), (0xE0100, 0xE01EF), (0x180B, 0x180F), (0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x3164, 0x3164), (0xFFA0, 0xFFA0)]
 SAME_BLOCKS = [(0x2160, 0x217F), (0x2E80, 0x2FDF)]
@@ -51,92 +56,23 @@ def plain_char(c: str) -> str:
         return " "
     if 0xAC00 <= p <= 0xD7A3:
         return c
-    tag = unicodedata.decomposition(c).partition(" ")[0]
-    if tag in ("<wide>", "<narrow>") or any(a <= p <= b for a, b in SAME_BLOCKS):
+    tag, _, other = unicodedata.decomposition(c).partition(" ")
+    if tag in ("<wide>", "<narrow>"):
+        # one step: what is left is the same character in its usual width
+        c = "".join(chr(int(x, 16)) for x in other.split())
+    elif any(a <= p <= b for a, b in SAME_BLOCKS):
         c = unicodedata.normalize("NFKC", c)
-        if c == " ":
-            return c
     return "".join(SAME_SHAPE.get(x, x) for x in unicodedata.normalize("NFD", c))
 
 
 @lru_cache(maxsize=1)
-def tables() -> tuple[CharMap, np.ndarray, np.ndarray, np.ndarray]:
-    """Character map, combining classes, and the sorted (starter, mark) pairs with what they compose to."""
-    classes = np.zeros(0x110000, np.uint8)
-    pairs = {}
-    for p in [*range(0x300, 0x20000)] + [*range(0xA0, 0x300)]:
-        c = chr(p)
-        classes[p] = unicodedata.combining(c)
-        d = unicodedata.decomposition(c)
-        if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", c) == c:
-            a, b = (int(x, 16) for x in d.split())
-            pairs[a << 21 | b] = p
-    keys = np.array(sorted(pairs), np.int64)
-    return CharMap(plain_char), classes, keys, np.array([pairs[int(k)] for k in keys], np.int32)
-
-
-def compose(points: np.ndarray, offsets: np.ndarray, classes: np.ndarray, keys: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Canonical order and composition of combining marks; rows don't meet."""
-    cls = classes[points]
-    marks = np.flatnonzero(cls)
-    drop = np.zeros(len(points), bool)
-    if len(marks):
-        points = points.copy()
-        row_start = np.zeros(len(points) + 1, bool)
-        row_start[offsets] = True
-        # a run of marks follows a starter, or begins a row
-        first = np.ones(len(marks), bool)
-        first[1:] = (np.diff(marks) != 1) | row_start[marks[1:]]
-        run = np.cumsum(first) - 1
-        points[marks] = points[marks][np.lexsort((np.arange(len(marks)), cls[marks], run))]
-        cls = classes[points]
-        begin = marks[first]
-        size = np.bincount(run)
-        owned = ~row_start[begin]
-        begin, size = begin[owned], size[owned]
-        last = np.zeros(len(begin), np.uint8)
-        j = 0
-        while len(begin):
-            at, starter = begin + j, begin - 1
-            free = (last == 0) | (last < cls[at])
-            key = points[starter].astype(np.int64) << 21 | points[at]
-            k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            ok = free & (keys[k] == key)
-            points[starter[ok]] = made[k[ok]]
-            drop[at[ok]] = True
-            last = np.where(ok, last, cls[at])
-            j += 1
-            more = size > j
-            begin, size, last = begin[more], size[more], last[more]
-    points, offsets = points[~drop], np.concatenate([[0], np.cumsum(~drop)])[offsets]
-    return jamo(points, offsets)
-
-
-def jamo(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hangul letters that follow each other as syllables."""
-    for low, high, base in ((0x1161, 0x1175, 0), (0x11A8, 0x11C2, 1)):
-        second = np.flatnonzero((points >= low) & (points <= high))
-        if not len(second):
-            continue
-        second = second[second > 0]
-        second = second[~np.isin(second, offsets)]
-        before = points[second - 1]
-        ok = (before >= 0x1100) & (before <= 0x1112) if base == 0 else (before >= 0xAC00) & (before <= 0xD7A3) & ((before - 0xAC00) % 28 == 0)
-        second, before = second[ok], before[ok]
-        points = points.copy()
-        points[second - 1] = 0xAC00 + ((before - 0x1100) * 21 + points[second] - 0x1161) * 28 if base == 0 else before + points[second] - 0x11A7
-        stay = np.ones(len(points), bool)
-        stay[second] = False
-        points, offsets = points[stay], np.concatenate([[0], np.cumsum(stay)])[offsets]
-    return points, offsets
+def char_map() -> CharMap:
+    return CharMap(plain_char)
 
 
 def plain_column(column: pa.Array) -> pa.Array:
-    char_map, classes, keys, made = tables()
-    out = encode(*compose(*char_map.apply(*decode(column)), classes, keys, made))
+    out = encode(*composer()(*char_map().apply(*decode(column))))
     if column.null_count:
-        import pyarrow.compute as pc
-
         out = pc.if_else(pc.is_valid(column), out, pa.scalar(None, pa.string()))
     return out
 
@@ -152,17 +88,50 @@ def one_form(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def same_look_pairs(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """``(id_a, id_b, field)``, id_a < id_b: different ids whose values of a field look the same and differ in code points."""
+LOOK, RAW = ["field", "look", "look2"], ["raw", "raw2"]
+
+
+def looks(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """``(id, field, look, look2, raw, raw2)``, once each: hashes of what each value looks like and of its code points. Nulls and what looks like nothing are left out."""
     values = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns])).alias("v")).select("id", "v.field", "v.value").where("id is not null and value <> ''")
     formed = one_form(values.withColumn("look", F.col("value")), ["look"]).where("look <> ''")
 
     def mark(c: str, name: str) -> list:
         return [F.xxhash64(c).alias(name), F.hash(F.length(c), c).alias(f"{name}2")]
 
-    hashed = formed.select("id", "field", *mark("look", "look"), *mark("value", "raw")).distinct()
-    on = ["field", "look", "look2"]
-    varied = hashed.groupBy(*on).agg(F.min(F.struct("raw", "raw2")).alias("low"), F.max(F.struct("raw", "raw2")).alias("high")).where("low <> high").select(*on)
-    kept = hashed.join(varied, on)
-    a, b = (kept.select(*on, F.col("id").alias(f"id_{s}"), F.struct("raw", "raw2").alias(f"raw_{s}")) for s in "ab")
-    return a.join(b, on).where("id_a < id_b and raw_a <> raw_b").select("id_a", "id_b", "field").distinct()
+    return formed.select("id", "field", *mark("look", "look"), *mark("value", "raw")).distinct()
+
+
+def spellings(hashed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the looks that have several spellings: ``(field, look, look2, n, class_id, n_spellings)`` with the number of ids and the least of them, and a row per spelling with its number ``n`` of ids."""
+    each = hashed.groupBy(*LOOK, *RAW).agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    varied = each.groupBy(*LOOK).agg(F.sum("n").alias("n"), F.min("least").alias("class_id"), F.count("*").cast("int").alias("n_spellings")).where("n_spellings > 1")
+    return varied, each.drop("least").join(varied.select(*LOOK), LOOK)
+
+
+def same_look_classes(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """``(id, field, class_id, n_spellings)``: every id whose value of a field looks like another that differs in code points; the class is named by its least id."""
+    hashed = looks(rows, id_col, columns)
+    return join_hot(hashed.select("id", *LOOK), spellings(hashed)[0], LOOK, "n").select("id", "field", "class_id", "n_spellings").distinct()
+
+
+def same_look_pairs(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """``(id_a, id_b, field)``, id_a < id_b: different ids whose values of a field look the same and differ in code points.
+
+    Spellings are paired first; their members meet in cells of two blocks, so the work follows the pairs that come out
+    and no task gets a whole hot look.
+    """
+    hashed = looks(rows, id_col, columns)
+    spelled = spellings(hashed)[1]
+    a, b = (spelled.select(*LOOK, *(F.col(c).alias(f"{c}_{s}") for c in (*RAW, "n"))) for s in "ab")
+    two = a.join(b, LOOK).where("(raw_a, raw2_a) < (raw_b, raw2_b)").withColumns({"ka": blocks(F.col("n_a")), "kb": blocks(F.col("n_b"))})
+    cells = two.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)))
+    member = join_hot(hashed, spelled, [*LOOK, *RAW], "n").select("id", *LOOK, *RAW, block_of(F.col("id"), blocks(F.col("n"))).alias("block"))
+    cell = [*LOOK, "raw_a", "raw2_a", "raw_b", "raw2_b", "i", "j"]
+
+    def side(s: str, block: str) -> DataFrame:
+        mine = member.withColumnsRenamed({"id": f"id_{s}", "raw": f"raw_{s}", "raw2": f"raw2_{s}", "block": block})
+        return mine.join(cells.select(*cell), [*LOOK, f"raw_{s}", f"raw2_{s}", block])
+
+    met = side("a", "i").join(side("b", "j"), cell).where("id_a <> id_b")
+    return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "field").distinct()

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from inkstream.llm.bitslice import near_across, near_in_buckets
 from inkstream.llm.codepoints import decode, encode, grams
 from inkstream.llm.folding import folder, without_markup
+from inkstream.llm.pairs import pairs_within
 from inkstream.session import cut
 
 SIGNATURE = 128
@@ -324,7 +325,5 @@ def near_duplicates(rows: DataFrame, id_col: str, text_col: str, n: int = 4, sha
 
 
 def pairs_of(classes: DataFrame) -> DataFrame:
-    """``(id_a, id_b)``, id_a < id_b: the pairs of different ids in the same class."""
-    member = classes.select("class_id", "id").distinct()
-    real = member.join(member.groupBy("class_id").agg(F.count("*").alias("size")).where("size > 1").select("class_id"), "class_id")
-    return real.withColumnRenamed("id", "id_a").join(real.withColumnRenamed("id", "id_b"), "class_id").where("id_a < id_b").select("id_a", "id_b").distinct()
+    """``(id_a, id_b)``, id_a < id_b: the pairs of different ids in the same class; a hot class is split into blocks."""
+    return pairs_within(classes.select("class_id", "id").distinct(), "class_id", "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstream.llm.contamination import leaked_items
 from inkstream.llm.encoding import Vocabulary, encoded
-from inkstream.llm.lookalikes import one_form, same_look_pairs
+from inkstream.llm.lookalikes import one_form, same_look_classes, same_look_pairs
 from inkstream.llm.neardup import near_duplicates, pairs_of
 from inkstream.llm.subjects import classified, composition, subjects_of
 from inkstream.llm.toxicity import THRESHOLD, rates, scored
@@ -26,6 +26,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(table(spark, sf_dir, "wikipedia_articles"), "id", ["title", "text"])
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_look_classes(table(spark, sf_dir, "wikipedia_articles"), "id", ["title", "text"])
+
+
 def p2_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form(table(spark, sf_dir, "wikipedia_articles").select("id", "title", "text"), ["title", "text"])
 
@@ -66,5 +70,5 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates(p8_scores(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_composition, p2_found, p2_one_form, p3_found, p3_classes, p6_ids, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_composition, p2_found, p2_classes, p2_one_form, p3_found, p3_classes, p6_ids, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)}
 ORACLE: dict[str, str] = {}

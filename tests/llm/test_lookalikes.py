@@ -1,6 +1,9 @@
 import itertools
 
-from inkstream.llm.lookalikes import one_form, same_look_pairs
+import pytest
+
+from inkstream.llm import pairs
+from inkstream.llm.lookalikes import one_form, same_look_classes, same_look_pairs
 
 ROWS = "id long, title string, text string, look string"
 SAME = [("A-1", "Ａ‑１"), ("é", "é"), ("a b", "a　b"), ("II世", "Ⅱ世"), ("Corsa", "Соrѕа"), ("人", "⼈"), ("冷", "冷"), ("a·b", "a・b"), ("ab", "a​﻿b️"), ("가", "가")]
@@ -23,3 +26,24 @@ def test_edge_cases(spark):
     formed = one_form(df, ["title"]).collect()
     assert [r["title"] for r in formed][:4] == [None, None, "", ""] and formed[3]["text"] == "ａ" and formed[0]["look"] == "c"
     assert same_look_pairs(df.limit(0), "id", ["title"]).count() == 0
+
+
+@pytest.mark.parametrize("pair", ["⺝月", "⺜日", "⺊卜", "⻗雨", "⻝食", "〸十", "µμ", "ﾡㄱ", "ꓐB", "⽉月"])
+def test_same_shape_in_other_blocks(pair):
+    import pyarrow as pa
+
+    from inkstream.llm.lookalikes import plain_column
+
+    a, b = plain_column(pa.array(list(pair))).to_pylist()
+    assert a == b
+
+
+def test_hot_look_is_split_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "CELL", 8)
+    monkeypatch.setattr(pairs, "LEAST_HOT", 5)
+    rows = [(i, "Ａ" if i % 40 == 0 else "А" if i % 50 == 0 else "A", f"{i}", "x") for i in range(1, 301)] + [(1000, "B", "t", "x"), (1001, "B", "t", "x")]
+    df = spark.createDataFrame(rows, ROWS)
+    want = {(a, b, "title") for (a, x, *_), (b, y, *_) in itertools.combinations(rows, 2) if x != y and x in "ＡАA" and y in "ＡАA"}
+    assert {tuple(r) for r in same_look_pairs(df, "id", ["title", "text"]).collect()} == want
+    classes = same_look_classes(df, "id", ["title", "text"]).collect()
+    assert {tuple(r) for r in classes} == {(i, "title", 1, 3) for i in range(1, 301)} and len(classes) == 300

@@ -129,3 +129,13 @@ def test_share_without_a_plan():
     for share in (0.0, -0.5, 1.5, 0.01):
         with pytest.raises(ValueError):
             neardup.Bands.of(share)
+
+
+def test_pairs_of_a_hot_class(spark, monkeypatch):
+    from inkstream.llm import pairs
+
+    monkeypatch.setattr(pairs, "CELL", 4)
+    monkeypatch.setattr(pairs, "LEAST_HOT", 5)
+    rows = [(f"{i:04d}", "0000") for i in range(60)] + [("0100", "0100"), ("0101", "0101"), ("0102", "0101"), (None, None)]
+    got = pairs_of(spark.createDataFrame(rows, "id string, class_id string")).collect()
+    assert sorted(map(tuple, got)) == [*itertools.combinations([f"{i:04d}" for i in range(60)], 2), ("0101", "0102")]
