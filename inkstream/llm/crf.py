@@ -1,8 +1,10 @@
 """A linear-chain conditional random field with two states over characters, trained and applied on arrays.
 
 Texts become segments (about sentences) of normalised characters. A character's score for the state "offending" is the
-sum of the weights of the n-grams around it and of its segment's bigrams as a whole; the chain adds transition weights.
-Forward-backward runs over all segments of a batch at once, a position of every segment at a time.
+sum of the weights of the n-grams around it and of its segment's bigrams within ``REACH``; the chain adds transition weights.
+Forward-backward runs over all segments of a batch at once, a position of every chain at a time. A long segment is
+several chains: the product of a chain's transfer matrices says what enters the next, so the result is that of the whole
+segment, however long.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from inkstream.llm.codepoints import CharMap, decode
 
 BITS = 18
 QUOTE, COMMA, END, DOT = ord('"'), ord(","), ord("\n"), ord(".")
-#: Longer segments are cut: a chain of so many characters.
-LONGEST = 200
+#: Characters on either side whose bigrams count for a character besides its n-grams.
+REACH = 100
+#: Characters that forward-backward goes through one by one.
+CHAIN = 256
 
 
 SIMPLE = dict(zip(FREQUENT, FREQUENT_SIMPLIFIED))
@@ -87,9 +91,6 @@ def segments(column: pa.Array) -> Segments:
     new = np.ones(len(raw), bool)
     new[1:] = (number[1:] != number[:-1]) | (row[1:] != row[:-1])
     start = np.flatnonzero(new)
-    inner = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
-    new |= inner % LONGEST == 0
-    start = np.flatnonzero(new)
     return Segments(raw.astype(np.int32), place.astype(np.int32), start, np.diff(np.append(start, len(raw))), row[start])
 
 
@@ -129,11 +130,23 @@ def features(s: Segments) -> tuple[np.ndarray, np.ndarray]:
     return local, _hash([near[-1], near[0]], 99)
 
 
-def _steps(s: Segments) -> tuple[np.ndarray, list[int]]:
-    order = np.argsort(-s.size, kind="stable")
-    longest = int(s.size.max()) if len(s.size) else 0
-    counts = np.searchsorted(-s.size[order], -np.arange(longest), "left")
-    return s.start[order], counts.tolist()
+def _steps(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The order of the chains, longest first, and how many of them have each position."""
+    order = np.argsort(-size, kind="stable")
+    longest = int(size.max()) if len(size) else 0
+    counts = np.searchsorted(-size[order], -np.arange(longest), "left")
+    return order, counts.tolist()
+
+
+def near(s: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Where the characters within ``REACH`` of each character's segment begin and end."""
+    i, start = np.arange(len(s.tokens)), np.repeat(s.start, s.size)
+    return np.maximum(start, i - REACH), np.minimum(start + np.repeat(s.size, s.size), i + REACH + 1)
+
+
+def sums(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    return total[high] - total[low]
 
 
 @dataclass
@@ -149,29 +162,63 @@ class Model:
         e = np.full(len(s.tokens), self.bias)
         for j in range(local.shape[1]):
             e += self.weights[local[:, j]]
-        if len(s.size):
-            e += np.repeat(np.add.reduceat(self.overall[whole], s.start) / np.sqrt(s.size), s.size)
+        low, high = near(s)
+        e += sums(self.overall[whole], low, high) / np.sqrt(high - low)
         return np.clip(e, -25, 25)
 
     def marginals(self, s: Segments, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of the offending state at each character, and the forward and backward ratios behind it."""
-        start, counts = _steps(s)
+        count = -(-s.size // CHAIN)
+        owner = np.repeat(np.arange(len(count)), count)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        start = s.start[owner] + number * CHAIN
+        size = np.minimum(CHAIN, s.size[owner] - number * CHAIN)
         odds = np.exp(e)
         into, out, stay = np.exp(self.moves)
-        r, q = np.empty(len(e)), np.ones(len(e))
+        before, after = self._ends(odds, start, size, count, number)
+        order, counts = _steps(start, size)
+        start, size, before, after = start[order], size[order], before[order], after[order]
+        r, q = np.empty(len(e)), np.empty(len(e))
         for t, n in enumerate(counts):
             at = start[:n] + t
-            if t:
-                p = r[at - 1]
-                r[at] = odds[at] * (into + p * stay) / (1 + p * out)
-            else:
-                r[at] = odds[at] * into
+            p = r[at - 1] if t else before
+            r[at] = odds[at] * (into + p * stay) / (1 + p * out)
+        q[start + size - 1] = after
         for t in range(len(counts) - 2, -1, -1):
             at = start[: counts[t + 1]] + t
             nxt = odds[at + 1] * q[at + 1]
             q[at] = (out + stay * nxt) / (1 + into * nxt)
         return 1 - 1 / (1 + r * q), r, q
 
+    def _ends(self, odds: np.ndarray, start: np.ndarray, size: np.ndarray, count: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ratio that enters each chain from before, and the one at its last character from after."""
+        before, after = np.zeros(len(start)), np.ones(len(start))
+        long = np.flatnonzero(np.repeat(count, count) > 1)
+        if not len(long):
+            return before, after
+        into, out, stay = np.exp(self.moves)
+        order, counts = _steps(start[long], size[long])
+        of = long[order]
+        m = np.tile(np.eye(2), (len(of), 1, 1))
+        for t, n in enumerate(counts):
+            o = odds[start[of[:n]] + t][:, None]
+            off, on = m[:n, 0], m[:n, 1]
+            m[:n] = np.stack([off + out * on, o * (into * off + stay * on)], axis=1)
+            m[:n] /= m[:n].max((1, 2), keepdims=True)
+        matrix = np.empty((len(start), 2, 2))
+        matrix[of] = m
+        last = np.repeat(count, count) - 1
+        for k in range(1, int(count.max())):
+            here = long[number[long] == k]
+            v = np.stack([np.ones(len(here)), before[here - 1]], axis=1)
+            v = np.einsum("nij,nj->ni", matrix[here - 1], v)
+            before[here] = v[:, 1] / v[:, 0]
+            here = long[last[long] - number[long] == k]
+            v = np.stack([np.ones(len(here)), after[here + 1]], axis=1)
+            v = np.einsum("nji,nj->ni", matrix[here + 1], v)
+            after[here] = v[:, 1] / v[:, 0]
+        return before, after
+
 
 def train(s: Segments, y: np.ndarray, weight: np.ndarray, rounds: int, model: Model | None = None, rate: float = 0.3, decay: float = 1e-6) -> Model:
     """Weighted maximum likelihood by full-batch adaptive gradient steps on the characters' states ``y``; ``weight`` by segment."""
@@ -179,7 +226,8 @@ def train(s: Segments, y: np.ndarray, weight: np.ndarray, rounds: int, model: Mo
     m = model or Model(np.zeros(size), np.zeros(size), -1.0, np.array([-2.0, -2.0, 1.0]))
     heavy = np.repeat(weight, s.size)
     local, whole = features(s)
-    flat, scale = local.ravel(), 1 / np.sqrt(np.repeat(s.size, s.size))
+    low, high = near(s)
+    flat, scale = local.ravel(), 1 / np.sqrt(high - low)
     first = np.zeros(len(y), bool)
     first[s.start] = True
     inner = np.flatnonzero(~first)
@@ -189,7 +237,7 @@ def train(s: Segments, y: np.ndarray, weight: np.ndarray, rounds: int, model: Mo
         e = m.scores(s, local, whole)
         p, r, q = m.marginals(s, e)
         g = (p - y) * heavy / total
-        grads = [np.bincount(flat, np.repeat(g, local.shape[1]), size) + decay * m.weights, np.bincount(whole, np.repeat(np.add.reduceat(g, s.start), s.size) * scale, size) + decay * m.overall, g.sum()]
+        grads = [np.bincount(flat, np.repeat(g, local.shape[1]), size) + decay * m.weights, np.bincount(whole, sums(g * scale, low, high), size) + decay * m.overall, g.sum()]
         into, out, stay = np.exp(m.moves)
         nxt = np.exp(e[inner]) * q[inner]
         w = np.stack([np.ones(len(inner)), into * nxt, r[inner - 1] * out, r[inner - 1] * stay * nxt])

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstream.llm import subjects, toxicity
 from inkstream.llm.contamination import leaked_items
+from inkstream.llm.crf import Model
 from inkstream.llm.encoding import Vocabulary, encoded
 from inkstream.llm.lookalikes import one_form, same_look_classes, same_look_pairs
 from inkstream.llm.neardup import near_duplicates, pairs_of
-from inkstream.llm.subjects import classified, composition, subjects_of
-from inkstream.llm.toxicity import THRESHOLD, rates, scored
 from inkstream.session import table
 
 
+@lru_cache(maxsize=4)
+def _classifier(spark: SparkSession, sf_dir: str) -> subjects.Classifier | None:
+    """The chain of these tables' labels, fitted once in a session."""
+    return subjects.fitted(table(spark, sf_dir, "wikipedia_articles"), table(spark, sf_dir, "subject_labels"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subjects_of(classified(table(spark, sf_dir, "wikipedia_articles"), table(spark, sf_dir, "subject_labels")))
+    return subjects.subjects_of(subjects.decoded(table(spark, sf_dir, "wikipedia_articles"), _classifier(spark, sf_dir)))
 
 
 def p1_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return composition(p1_found(spark, sf_dir))
+    return subjects.composition(p1_found(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,16 +66,22 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_passages(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("shared").alias("most_shared"))
 
 
+@lru_cache(maxsize=4)
+def _field(spark: SparkSession, sf_dir: str) -> Model | None:
+    """The field of these tables' labels, fitted once in a session."""
+    return toxicity.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"))
+
+
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"), carry=("source",))
+    return toxicity.tagged(table(spark, sf_dir, "documents"), _field(spark, sf_dir), carry=("source",))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_scores(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id")
+    return p8_scores(spark, sf_dir).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id")
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates(p8_scores(spark, sf_dir))
+    return toxicity.rates(p8_scores(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_composition, p2_found, p2_classes, p2_one_form, p3_found, p3_classes, p6_ids, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)}

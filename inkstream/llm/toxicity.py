@@ -5,15 +5,18 @@ documents whose n-grams occur in offending documents far more often than in othe
 on these tags itself. Segments of clean documents that it tags are trained with more weight. A document's score is the
 highest mean probability of some characters in a row.
 
-The field is fitted on a bounded sample: the first ``OFFENDING`` and ``CLEAN`` labelled documents by hash. All
-documents are scored, whole.
+The field is fitted on a bounded sample of the labels: the first ``OFFENDING`` and ``CLEAN`` labelled documents by hash,
+those of more than ``EXAMPLE_CHARS`` characters left out. The sample is dealt out to tasks; in every turn each task trains
+on its share from the field that all have, and a feature's new weight is the mean of those of the tasks that met it.
+Every tagged or doubtful segment is trained on, of the plain ones ``PLAIN_CLEAN`` of clean and ``PLAIN_OFFENDING`` of
+offending documents. All documents are scored, whole.
 
 Result cases
     null, empty texts      score 0
     no labels of one kind  nothing to learn from: every score is 0
     label without document ignored; a document labelled twice counts as offending if half of its labels say so
     repeated doc_id        one result per row
-    very long texts        chains end after 200 characters without a sentence end; all are scored
+    very long texts        no limit; a chain is as long as its sentence
     clashing names         only the named columns are read
 """
 
@@ -27,29 +30,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstream.llm.crf import BITS, Model, Segments, features, segment_scores, segments, train
+from inkstream.session import cut
 
-OFFENDING, CLEAN = 3000, 5000
+OFFENDING, CLEAN, EXAMPLE_CHARS = 3000, 5000, 20_000
+PLAIN_CLEAN, PLAIN_OFFENDING = 12_000, 8000
+#: Labelled documents of a task's share, and the most tasks.
+SHARE, MOST_SHARES = 1200, 8
 TURNS, ROUNDS = 5, 30
 THRESHOLD = 0.4
 
 
-def sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[list[str], np.ndarray]:
+def sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
+    """``(doc_id, text, y)``, at most ``OFFENDING + CLEAN`` rows of at most ``EXAMPLE_CHARS`` characters."""
     each = labels.where(f"`{doc_id}` is not null and `{label}` is not null").groupBy(F.col(doc_id).alias("doc_id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
     chosen = each.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(OFFENDING).unionByName(each.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLEAN))
     # one document per label, so a repeated id can't make the sample larger
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).orderBy("doc_id").collect()
-    return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64)
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") <= EXAMPLE_CHARS)
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
 
 
-def first_guess(s: Segments, local: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Evidence of each segment: how much more often its 4-grams occur in other offending documents."""
-    f, row = local[:, 4], np.repeat(s.row, s.size)
-    key = np.unique(row.astype(np.int64) << BITS | f)
+def gram_counts(s: Segments, local: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many clean and how many offending documents have each 4-gram."""
+    key = np.unique(np.repeat(s.row, s.size).astype(np.int64) << BITS | local[:, 4])
     gram, of = key & (1 << BITS) - 1, y[key >> BITS]
-    bad, good = np.bincount(gram, of, 1 << BITS), np.bincount(gram, 1 - of, 1 << BITS)
-    share, own = y.mean(), y[row]
+    return np.stack([np.bincount(gram, 1 - of, 1 << BITS), np.bincount(gram, of, 1 << BITS)]).astype(np.int32)
+
+
+def first_guess(s: Segments, local: np.ndarray, y: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
+    """Evidence of each segment: how much more often its 4-grams occur in other offending documents than in others."""
+    f, own = local[:, 4], y[np.repeat(s.row, s.size)]
     # without the document itself, so that nothing speaks for itself
-    bad, good = bad[f] - own, good[f] - (1 - own)
+    good, bad = counts[0][f] - (1 - own), counts[1][f] - own
     odds = np.log((bad + 2 * share) / (good + 2 * (1 - share)) * (1 - share) / share)
     odds[bad + good < 2] = 0
     return np.add.reduceat(np.clip(odds, -3, 3), s.start) / np.sqrt(s.size)
@@ -61,29 +72,77 @@ def best_of_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return best[row]
 
 
-def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model | None:
-    if not len(y) or y.min() == y.max():
-        return None
-    s = segments(pa.array(texts, pa.string()))
-    if not len(s.size) or len(np.unique(y[s.row])) < 2:
-        return None
+def turn(s: Segments, y: np.ndarray, counts: np.ndarray, share: float, models: list[Model], shares: int, seed: int = 7) -> tuple[Model, np.ndarray] | None:
+    """The field after one turn on a task's documents, from the last of ``models``, and how often it met each feature."""
     local, whole = features(s)
     offending = y[s.row] == 1
-    evidence = first_guess(s, local, y)
+    evidence = first_guess(s, local, y, counts, share)
     tagged = offending & ((evidence > 5) | (evidence >= best_of_row(evidence, s.row, len(y))) & (evidence > 2.5))
     clean = np.flatnonzero(~offending)
     hard = clean[evidence[clean] > 1]
     rng = np.random.default_rng(seed)
-    plain = [rng.choice(some, min(len(some), n), replace=False) for some, n in ((clean, 6000), (np.flatnonzero(offending & (evidence < 1)), 4000))]
-    model = None
-    for _ in range(TURNS):
-        use = np.unique(np.concatenate([np.flatnonzero(tagged), hard, *plain]))
-        part = s.take(use)
-        model = train(part, np.repeat(tagged[use].astype(float), part.size), np.where(np.isin(use, hard), 4.0, 1.0), ROUNDS, model)
+    plain = [rng.choice(some, min(len(some), n // shares), replace=False) for some, n in ((clean, PLAIN_CLEAN), (np.flatnonzero(offending & (evidence < 1)), PLAIN_OFFENDING))]
+    for model in models:
         score = segment_scores(s, model.marginals(s, model.scores(s, local, whole))[0])
         tagged = offending & ((score > 0.5) | (score >= best_of_row(score, s.row, len(y))) & (score > 0.2))
         hard = np.union1d(hard, np.flatnonzero(~offending & (score > 0.15)))
-    return model
+    use = np.unique(np.concatenate([np.flatnonzero(tagged), hard, *plain]))
+    if not len(use):
+        return None
+    part = s.take(use)
+    model = train(part, np.repeat(tagged[use].astype(float), part.size), np.where(np.isin(use, hard), 4.0, 1.0), ROUNDS, models[-1] if models else None)
+    f, w = features(part)
+    return model, np.stack([np.bincount(f.ravel(), minlength=1 << BITS), np.bincount(w, minlength=1 << BITS)])
+
+
+def mixed(models: list[Model], met: list[np.ndarray]) -> Model:
+    """The mean field; a feature's weight is that of the tasks that met it, as often as they did."""
+    n = np.stack(met).astype(np.float64) + 1e-9
+    weights, overall = ((n[:, k] * np.stack([getattr(m, name) for m in models])).sum(0) / n[:, k].sum(0) for k, name in ((0, "weights"), (1, "overall")))
+    return Model(weights, overall, float(np.mean([m.bias for m in models])), np.mean([m.moves for m in models], axis=0))
+
+
+def fitted(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
+    """The field of the labels, for ``scored``; None if there is nothing to learn from. Weights come to the driver, texts don't."""
+    rows = cut(sample(documents, labels, doc_id, text, label))
+    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
+        return None
+    total, share = sum(size.values()), size[1] / sum(size.values())
+    shares = min(MOST_SHARES, max(1, total // SHARE))
+    dealt = cut(rows.repartition(shares, "doc_id"))
+
+    def of_tasks(work, n: int) -> list[list[np.ndarray]]:
+        """``work(segments, y)``, a list of ``n`` arrays or None, of each task's documents."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(3)))), key=lambda r: str(r[0]))
+            y = np.array([r[2] for r in held], np.int64)
+            s = segments(pa.array([r[1] for r in held], pa.string()))
+            out = work(s, y) if len(s.size) else None
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in out], names=[f"a{i}" for i in range(n)])
+
+        return [list(r) for r in dealt.mapInArrow(run, ", ".join(f"a{i} binary" for i in range(n))).collect()]
+
+    counts = sum((np.frombuffer(c, np.int32).reshape(2, -1) for (c,) in of_tasks(lambda s, y: [gram_counts(s, features(s)[0], y)], 1)), np.zeros((2, 1 << BITS), np.int32))
+    models: list[Model] = []
+    for _ in range(TURNS):
+
+        def one(s: Segments, y: np.ndarray, models: list[Model] = models) -> list[np.ndarray] | None:
+            out = turn(s, y, counts, share, models, shares)
+            return out and [np.stack([out[0].weights, out[0].overall]).astype(np.float32), np.append(out[0].moves, out[0].bias), out[1].astype(np.int32)]
+
+        got = of_tasks(one, 3)
+        if not got:
+            return None
+        parts = []
+        for weights, rest, _met in got:
+            w, m = np.frombuffer(weights, np.float32).reshape(2, -1), np.frombuffer(rest, np.float64)
+            parts.append(Model(w[0], w[1], float(m[3]), m[:3].copy()))
+        models.append(mixed(parts, [np.frombuffer(met, np.int32).reshape(2, -1) for *_, met in got]))
+        models[-1].weights, models[-1].overall = models[-1].weights.astype(np.float32), models[-1].overall.astype(np.float32)
+    return models[-1]
 
 
 def tag(column: pa.Array, model: Model | None, least: float) -> tuple[np.ndarray, list[list[dict]]]:
@@ -108,7 +167,11 @@ def tag(column: pa.Array, model: Model | None, least: float) -> tuple[np.ndarray
 
 def scored(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", carry: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, *carry, score, spans)`` of every document; spans are places in the text."""
-    model = fit(*sample(documents, labels, doc_id, text, label))
+    return tagged(documents, fitted(documents, labels, doc_id, text, label), doc_id, text, carry, threshold)
+
+
+def tagged(documents: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
+    """``scored`` by a field that was fitted before."""
     kept = documents.select(F.col(doc_id).alias("doc_id"), *(F.col(c) for c in carry), F.col(text).alias("_text"))
     names = kept.columns[:-1]
 

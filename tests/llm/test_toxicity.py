@@ -4,8 +4,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from inkstream.llm import crf
 from inkstream.llm.crf import Model, features, segments
-from inkstream.llm.toxicity import rates, scored
+from inkstream.llm.toxicity import fitted, rates, scored, tagged
 
 
 def test_marginals_equal_enumeration():
@@ -22,13 +23,32 @@ def test_marginals_equal_enumeration():
         assert np.allclose(got[start : start + size], on / total)
 
 
+def test_long_chains_are_exact(monkeypatch):
+    s = segments(pa.array(["甲乙丙丁。" + "好坏" * 700, "庚", "x" * 513, None, "y" * 512, "z" * 256]))
+    m, e = Model(np.zeros(1 << 18), np.zeros(1 << 18), 0.0, np.array([-1.0, -0.5, 0.7])), np.random.default_rng(1).normal(size=len(s.tokens)) * 5
+    want = m.marginals(s, e)
+    for chain in (3, 10**9):
+        monkeypatch.setattr(crf, "CHAIN", chain)
+        assert all(np.allclose(a, b) for a, b in zip(m.marginals(s, e), want))
+
+
+def test_gradient_of_the_bigrams_within_reach(monkeypatch):
+    monkeypatch.setattr(crf, "REACH", 3)
+    s = segments(pa.array(["甲乙丙丁戊己庚辛", "壬癸"]))
+    m, (local, whole) = Model(np.zeros(1 << 18), np.zeros(1 << 18), 0.5, np.zeros(3)), features(s)
+    m.overall[whole] = np.arange(len(whole)) + 1.0
+    got = m.scores(s, local, whole)
+    for i, (a, b) in enumerate([(max(0, i - 3), min(8, i + 4)) for i in range(8)] + [(8, 10)] * 2):
+        assert np.isclose(got[i], 0.5 + m.overall[whole[a:b]].sum() / np.sqrt(b - a))
+
+
 def test_segments_keep_places():
     texts = ["寄 生_虫，走3.5米。好Ａ！\n", None, "a.b c. d", "，" * 3, "字" * 450]
     s = segments(pa.array(texts))
     for i in range(len(s.size)):
         at = s.place[s.start[i] : s.start[i] + s.size[i]]
         assert list(at) == sorted(at) and all(0 <= p < len(texts[s.row[i]]) for p in at)
-    assert [int(n) for n in s.size[s.row == 4]] == [200, 200, 50]
+    assert [int(n) for n in s.size[s.row == 4]] == [450]
     local, whole = features(s)
     assert local.shape[0] == whole.shape[0] == len(s.tokens)
 
@@ -64,10 +84,21 @@ def test_held_out(spark):
     assert right >= 0.95 * 300
     spans = [(rows[i][1], x) for i in range(600, 900) for x in got[i]["spans"] if rows[i][2]]
     assert spans and sum("。" not in t[x["start"] : x["stop"]] for t, x in spans) >= 0.9 * len(spans)
-    by = {r["source"]: r for r in rates(scored(docs, labels, carry=("source",))).collect()}
+    model = fitted(docs, labels)
+    by = {r["source"]: r for r in rates(tagged(docs, model, carry=("source",))).collect()}
     assert by[None]["n_docs"] == 450 and 0 < by[None]["rate"] < 1
 
 
+def test_shares_are_mixed(spark, monkeypatch):
+    from inkstream.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "SHARE", 200)
+    rows = corpus(900, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in scored(docs, spark.createDataFrame([(i, y) for i, _, y in rows[:600]], "doc_id long, toxic int")).collect()}
+    assert sum((got[i] >= 0.5) == bool(y) for i, _, y in rows[600:]) >= 0.95 * 300
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "你好")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
