@@ -82,15 +82,27 @@ def recursive_chunks(text: Column, size: int = 500, overlap: int = 50, separator
     return cut(text)
 
 
+def pack(sentences: list[str], size: int) -> list[str]:
+    """Sentences in order, joined while they fit into ``size``; a longer one is cut."""
+    parts = [s[i : i + size] for s in sentences for i in range(0, len(s), size)]
+    groups: list[list[str]] = []
+    room = 0
+    for p in parts:
+        if groups and len(p) <= room:
+            groups[-1].append(p)
+        else:
+            groups.append([p])
+            room = size
+        room -= len(p)
+    return ["".join(g) for g in groups]
+
+
 def sentence_chunks(text: Column, size: int = 500) -> Column:
     """Sentences at 。！？ joined in order up to ``size`` characters; a longer sentence is cut."""
-    sentences = F.filter(F.split(F.coalesce(text, F.lit("")), "(?<=[。！？])"), lambda s: s != "")
-    parts = F.flatten(F.transform(sentences, lambda s: F.transform(F.sequence(F.lit(0), ((F.length(s) - 1) / size).cast("int")), lambda i: F.substring(s, i * size + 1, F.lit(size)))))
-    empty = F.array().cast("array<string>")
 
-    def add(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (F.length(F.when(F.size(done) > 0, last)) + F.length(s) <= size)
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, s)))).otherwise(F.concat(done, F.array(s)))
+    @F.pandas_udf("array<string>")
+    def packed(sentences: pd.Series) -> pd.Series:
+        return sentences.map(lambda s: pack(list(s), size))
 
-    return F.filter(F.transform(F.aggregate(parts, empty, add), strip), lambda x: x != "")
+    sentences = F.filter(F.split(F.coalesce(text, F.lit("")), "(?<=[。！？])"), lambda s: s != "")
+    return F.filter(F.transform(packed(sentences), strip), lambda x: x != "")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstream.functions.text import strip
+
 # Query types with their key words, in the order in which they are tried.
 QUERY_TYPES = {
     "factual": ["什么时候", "多少", "谁", "哪里", "哪一年", "日期", "年龄", "多高", "多长"],
@@ -28,6 +30,7 @@ FEW_SHOT = {
     "factual": "\n示例问答：\n参考资料:\n[1] 来源: 阿尔伯特·爱因斯坦\n阿尔伯特·爱因斯坦（1879年3月14日—1955年4月18日），德国出生的理论物理学家...\n\n用户问题: 爱因斯坦什么时候出生？\n\n回答:\n爱因斯坦出生于1879年3月14日 [来源: 阿尔伯特·爱因斯坦]。他是公认的二十世纪最伟大的物理学家之一，提出了狭义相对论和广义相对论。\n\n---\n",
     "concept": "\n示例问答：\n参考资料:\n[1] 来源: 光合作用\n光合作用是植物、藻类和某些细菌利用叶绿素将光能转化为化学能的过程...\n\n用户问题: 什么是光合作用？\n\n回答:\n光合作用是植物等生物利用光能将二氧化碳和水转化为有机物并释放氧气的过程 [来源: 光合作用]。\n\n关键要点：\n- 需要光能和叶绿素参与 [来源: 光合作用]\n- 反应方程式：6CO₂ + 6H₂O → C₆H₁₂O₆ + 6O₂ [来源: 光合作用]\n- 是地球上最重要的化学反应之一，维持大气氧含量\n\n---\n",
 }
+# Fixed value: the user prompt.
 USER_TEMPLATE = "参考资料:\n{context}\n\n用户问题: {question}\n\n请根据以上参考资料回答问题："
 
 # The templates for rewriting queries.
@@ -55,27 +58,24 @@ def classify_query(question: Column) -> Column:
     return out.when(question.endswith("？") | question.endswith("?"), "open_discussion").otherwise("default")
 
 
-@dataclass
-class SystemPrompts:
-    """System prompts by query type; unknown types get the default, which can't be removed."""
+#: The prompts by query type as they are sent: ``with_prompt`` and ``without_prompt`` make other such mappings.
+PROMPTS = {name: f"{prompt}\n\n{FEW_SHOT.get(name, '')}" for name, prompt in SYSTEM_PROMPTS.items()}
+
 
-    prompts: dict[str, str] = field(default_factory=lambda: {k: v + "\n\n" + FEW_SHOT.get(k, "") for k, v in SYSTEM_PROMPTS.items()})
+def with_prompt(prompts: Mapping[str, str], name: str, *parts: str) -> dict[str, str]:
+    """``prompts`` and one more, of a prompt and perhaps examples, which a blank line separates."""
+    return {**prompts, name: "\n\n".join(p for p in parts if p)}
 
-    def add(self, name: str, prompt: str, few_shot: str = "") -> None:
-        self.prompts[name] = prompt + ("\n\n" + few_shot if few_shot else "")
 
-    def remove(self, name: str) -> None:
-        if name != "default":
-            self.prompts.pop(name, None)
+def without_prompt(prompts: Mapping[str, str], name: str) -> dict[str, str]:
+    """``prompts`` without one; the default stays, since every type without a prompt of its own gets it."""
+    return {k: v for k, v in prompts.items() if k != name or k == "default"}
 
-    def get(self, name: str) -> str:
-        return self.prompts.get(name, self.prompts["default"])
 
-    def column(self, query_type: Column) -> Column:
-        out = F.when(F.lit(False), "")
-        for name, prompt in self.prompts.items():
-            out = out.when(query_type == name, prompt)
-        return out.otherwise(self.prompts["default"])
+def system_prompt(query_type: Column, prompts: Mapping[str, str] = PROMPTS) -> Column:
+    """The prompt of each type, looked up in a map literal."""
+    pairs = [F.lit(x) for pair in prompts.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), query_type), F.lit(prompts["default"]))
 
 
 def trim_context(hits: DataFrame, limit: int = 3000, least: int = 200) -> DataFrame:
@@ -112,45 +112,34 @@ def passages_markdown(hits: DataFrame, longest: int = 300) -> DataFrame:
     return hits.withColumn("_i", number).groupBy("qid").agg(F.array_join(in_order(entry), "").alias("passages"))
 
 
-def rag_prompts(questions: DataFrame, hits: DataFrame, system: SystemPrompts | None = None, limit: int = 3000) -> DataFrame:
+def rag_prompts(questions: DataFrame, hits: DataFrame, prompts: Mapping[str, str] = PROMPTS, limit: int = 3000) -> DataFrame:
     """``(qid, query_type, system_prompt, user_prompt)`` of ``questions (qid, text)`` with their hits; a question without hits has an empty context."""
     context = format_context(trim_context(hits, limit))
     rows = questions.select("qid", "text").join(context, "qid", "left").withColumn("query_type", classify_query(F.col("text")))
     user = filled(USER_TEMPLATE, context=F.coalesce("context", F.lit("")), question=F.col("text"))
-    return rows.select("qid", "query_type", (system or SystemPrompts()).column(F.col("query_type")).alias("system_prompt"), user.alias("user_prompt"))
+    return rows.select("qid", "query_type", system_prompt(F.col("query_type"), prompts).alias("system_prompt"), user.alias("user_prompt"))
 
 
-class Templates:
-    """Named templates with variables in braces."""
+#: The rewriting templates by name; a mapping with more or others can be given wherever they are used. Both context and profile count when both are there.
+TEMPLATES = REWRITE_TEMPLATES | {"query_rewrite_full": "基于对话历史和用户偏好，将查询重写为更精准的独立搜索词：\n\n对话历史：{context}\n用户偏好：{user_profile}\n当前查询：{query}\n\n重写后的搜索词："}
 
-    def __init__(self) -> None:
-        self.templates = {name: (text, re.findall(r"\{(\w+)\}", text)) for name, text in REWRITE_TEMPLATES.items()}
-        # both context and profile count when both are there
-        self.register("query_rewrite_full", "基于对话历史和用户偏好，将查询重写为更精准的独立搜索词：\n\n对话历史：{context}\n用户偏好：{user_profile}\n当前查询：{query}\n\n重写后的搜索词：", ["query", "context", "user_profile"])
 
-    def register(self, name: str, template: str, variables: list[str]) -> None:
-        self.templates[name] = (template, list(variables))
+def template_variables(template: str) -> list[str]:
+    return re.findall(r"\{(\w+)\}", template)
 
-    def get(self, name: str) -> str | None:
-        return self.templates.get(name, (None,))[0]
 
-    def names(self) -> list[str]:
-        return list(self.templates)
+def template_named(name: str, templates: Mapping[str, str] = TEMPLATES) -> str:
+    """ValueError for an unknown name."""
+    if name not in templates:
+        raise ValueError(f"no template {name!r}; there are {list(templates)}")
+    return templates[name]
 
-    def variables(self, name: str) -> list[str]:
-        if name not in self.templates:
-            raise ValueError(f"no template {name!r}")
-        return self.templates[name][1]
 
-    def format(self, name: str, **values: str) -> str:
-        """Raises ValueError for an unknown template or a missing variable; other values are ignored."""
-        text = self.get(name)
-        if text is None:
-            raise ValueError(f"no template {name!r}; there are {self.names()}")
-        missing = [v for v in re.findall(r"\{(\w+)\}", text) if v not in values]
-        if missing:
-            raise ValueError(f"template {name!r} needs {missing}")
-        return re.sub(r"\{(\w+)\}", lambda m: values[m[1]], text)
+def format_template(template: str, **values: str) -> str:
+    """The template with its variables' values, which are never read as templates; others are ignored, a missing one is a ValueError."""
+    if missing := [v for v in template_variables(template) if v not in values]:
+        raise ValueError(f"the template needs {missing}")
+    return re.sub(r"\{(\w+)\}", lambda m: values[m[1]], template)
 
 
 def select_template(context: Column, profile: Column, default: str = "query_rewrite_basic", both: bool = True) -> Column:
@@ -160,16 +149,10 @@ def select_template(context: Column, profile: Column, default: str = "query_rewr
     return F.when(has_context & has_profile, full).when(has_context, "query_rewrite_context").when(has_profile, "query_rewrite_personalized").otherwise(default)
 
 
-def rewrite_prompt(query: Column, context: Column, profile: Column, templates: Templates | None = None, default: str = "query_rewrite_basic") -> Column:
-    """The prompt that asks for a rewritten query; null for a blank query."""
-    from inkstream.functions.text import strip
-
-    templates = templates or Templates()
-    name = select_template(context, profile, default, "query_rewrite_full" in templates.names())
+def rewrite_prompt(query: Column, context: Column, profile: Column, templates: Mapping[str, str] = TEMPLATES, default: str = "query_rewrite_basic") -> Column:
+    """The prompt that asks for a rewritten query; null for a blank query. ``default``, which must be one of ``templates``, is for queries without context and profile."""
+    template_named(default, templates)
+    name = select_template(context, profile, default, "query_rewrite_full" in templates)
     values = {"query": strip(query), "context": F.array_join(context, "\n"), "user_profile": profile}
-    out = F.when(F.coalesce(strip(query), F.lit("")) == "", F.lit(None).cast("string"))
-    for key in templates.names():
-        text = templates.get(key) or ""
-        if set(re.findall(r"\{(\w+)\}", text)) <= set(values):
-            out = out.when(name == key, filled(text, **values))
-    return out
+    usable = [F.when(name == key, filled(text, **values)) for key, text in templates.items() if set(template_variables(text)) <= set(values)]
+    return F.when(F.coalesce(strip(query), F.lit("")) != "", F.coalesce(*usable))

@@ -14,8 +14,8 @@ from inkstream.operators.documents import numbered
 from inkstream.operators.generation import Encoder, embed
 from inkstream.session import cut
 
-#: Queries whose vectors are sent to the tasks at once.
-BLOCK = 2048
+#: Queries whose vectors are sent to the tasks at once, and rows that meet them at once.
+BLOCK, STEP = 2048, 1024
 
 
 def doubles(v: Column) -> Column:
@@ -51,36 +51,62 @@ def distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     product = queries @ rows.T
     if metric == "cosine":
         long = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
-        return np.round(1 - np.divide(product, long, out=np.zeros_like(product), where=long > 0), 9)
-    if metric == "l2":
-        return np.round(np.stack([np.sqrt(((rows - q) ** 2).sum(1)) for q in queries]), 9)
-    return np.round(-product, 9)
+        d = 1 - np.divide(product, long, out=np.zeros_like(product), where=long > 0)
+    elif metric == "l2":
+        d = np.stack([np.sqrt(((rows - q) ** 2).sum(1)) for q in queries]) if len(queries) else product
+    else:
+        d = -product
+    # adding 0 makes -0.0 a plain zero
+    return np.round(d, 9) + 0.0
+
+
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+class Nearest:
+    """The ``k`` nearest rows so far of each of some queries; of equal distances the smaller id."""
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str):
+        self.queries, self.k, self.metric = queries, k, metric
+        self.of, self.d, self.ids = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
+        self.worst = np.full(len(queries), np.inf)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        for a in range(0, len(rows), STEP):
+            d = distances(rows[a : a + STEP], self.queries, self.metric)
+            limit = np.minimum(np.partition(d, self.k - 1, axis=1)[:, self.k - 1], self.worst) if d.shape[1] >= self.k else self.worst
+            q, row = np.nonzero(d <= limit[:, None])
+            self.keep(np.concatenate([self.of, q]), np.concatenate([self.d, d[q, row]]), np.concatenate([self.ids, ids[a : a + STEP][row]]))
+
+    def keep(self, of: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], d, of)) if len(of) else np.empty(0, np.int64)
+        of, d, ids = of[order], d[order], ids[order]
+        begin = np.searchsorted(of, np.arange(len(self.queries)))
+        place = np.arange(len(of)) - begin[of]
+        full = of[place == self.k - 1]
+        self.worst[full] = d[place == self.k - 1]
+        near = place < self.k
+        self.of, self.d, self.ids = of[near], d[near], ids[near]
 
 
 def _block(index: DataFrame, asked: list, qtype: str, k: int, metric: str, exclude_self: bool) -> DataFrame:
     ids, vectors = [r["qid"] for r in asked], np.array([r["embedding"] for r in asked], np.float64)
-    itype = index.schema["id"].dataType
-    types = pa.int64() if itype.simpleString() == "bigint" else pa.int32() if itype.simpleString() == "int" else pa.string()
+    itype = index.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, best = [np.empty(0, object)] * len(ids), [np.empty(0)] * len(ids)
+        best = Nearest(vectors, k + exclude_self, metric)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            d, names = distances(matrix(batch.column(1)), vectors, metric), np.array(batch.column(0).to_pylist(), object)
-            for q in range(len(ids)):
-                if len(best[q]) >= k + 1 and d[q].min() > best[q][-1]:
-                    continue
-                near = np.flatnonzero(d[q] <= np.partition(d[q], k)[k]) if len(d[q]) > k + 1 else np.arange(len(d[q]))
-                both, values = np.concatenate([held[q], names[near]]), np.concatenate([best[q], d[q][near]])
-                order = sorted(range(len(both)), key=lambda i: (values[i], both[i]))[: k + 1]
-                held[q], best[q] = both[order], values[order]
-        at = np.repeat(np.arange(len(ids)), [len(h) for h in held])
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at]), pa.array(np.concatenate(held).tolist(), types), pa.array(np.concatenate(best))], names=["qid", "id", "distance"])
-
-    near = index.select("id", "embedding").where("embedding is not null").mapInArrow(run, f"qid {qtype}, id {itype.simpleString()}, distance double")
+            if batch.num_rows:
+                best.add(np.array(batch.column(0).to_pylist(), object), matrix(batch.column(1)))
+        if len(best.of):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.of], ARROW[qtype]), pa.array(best.ids.tolist(), ARROW[itype]), pa.array(best.d)], names=["qid", "id", "distance"])
+
+    near = index.select("id", "embedding").where("embedding is not null and id is not null").mapInArrow(run, f"qid {qtype}, id {itype}, distance double")
     near = near.where("cast(qid as string) <> cast(id as string)") if exclude_self else near
+    return ranked(near, k)
+
+
+def ranked(near: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -89,23 +115,33 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cos
     """``(qid, id, distance, rank)``: the ``k`` nearest rows of ``index (id, embedding)`` for each of ``queries (qid, embedding)``.
 
     The corpus stays where it is. Query vectors go to it in blocks; each task keeps its best rows of each query and only
-    those are shuffled. Of equal distances the smaller id wins. Distances have nine digits.
+    those are shuffled. Of several blocks, each one's result is written before the next is fetched, so the driver never
+    has more than one. Of equal distances the smaller id wins. Distances have nine digits. A null id or vector is no row.
     """
     asked = queries.select("qid", "embedding").where("qid is not null and embedding is not null")
     qtype = queries.schema["qid"].dataType.simpleString()
-    blocks = max(1, -(-asked.count() // block))
+    rows = asked.limit(block + 1).collect()
+    if not rows:
+        return index.sparkSession.createDataFrame([], f"qid {qtype}, id {index.schema['id'].dataType.simpleString()}, distance double, rank int")
+    if len(rows) <= block:
+        return _block(index, rows, qtype, k, metric, exclude_self)
+    placed = cut(asked)
+    # by hash, with some room, so that hardly a block is larger
+    blocks = -(-placed.count() * 9 // (8 * block))
     parts = []
     for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
-        parts += [_block(index, rows, qtype, k, metric, exclude_self)] if rows else []
-    if not parts:
-        return index.sparkSession.createDataFrame([], f"qid {qtype}, id {index.schema['id'].dataType.simpleString()}, distance double, rank int")
+        rows = placed.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
+        parts += [cut(_block(index, rows, qtype, k, metric, exclude_self))] if rows else []
     return reduce(DataFrame.unionByName, parts)
 
 
-def search_texts(docs: DataFrame, queries: DataFrame, encoder: Encoder, k: int = 10) -> DataFrame:
-    """``(qid, id, score, rank)``: the ``k`` texts of ``docs (doc, text)`` nearest to each of ``queries (qid, text)`` by the encoder's vectors; the score is the cosine."""
-    index = cut(docs.select(F.col("doc").alias("id"), embed(F.col("text"), encoder).alias("embedding")))
+def embedded(docs: DataFrame, encoder: Encoder) -> DataFrame:
+    """``(id, embedding)`` of ``docs (doc, text)``, written once."""
+    return cut(docs.select(F.col("doc").alias("id"), embed(F.col("text"), encoder).alias("embedding")))
+
+
+def search_texts(index: DataFrame, queries: DataFrame, encoder: Encoder, k: int = 10) -> DataFrame:
+    """``(qid, id, score, rank)``: the ``k`` rows of ``index (id, embedding)`` nearest to each of ``queries (qid, text)`` by the encoder's vectors; the score is the cosine."""
     asked = cut(queries.select("qid", embed(F.col("text"), encoder).alias("embedding")))
     return search(index, asked, k).select("qid", "id", F.round(1 - F.col("distance"), 9).alias("score"), "rank")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -30,6 +31,43 @@ class CannedModel:
         return self.answer if self.answer is not None else "答案-" + hashlib.sha256(prompt.encode()).hexdigest()[:12]
 
 
+# What a question says besides its subject.
+FILLERS = ["请问", "什么是", "是什么", "什么意思", "为什么", "有哪些", "怎么样", "怎么", "如何", "哪些", "多少", "什么", "吗", "呢", "？", "?", "！", "!", "。"]
+
+
+@dataclass
+class ExtractiveModel:
+    """A model without a network: it answers a prompt with passages by their sentences that have most character pairs in common with the question, and rewrites a query to what is left without question words."""
+
+    sentences: int = 2
+
+    def generate(self, prompt: str) -> str:
+        if "用户问题: " in prompt:
+            context, question = prompt.rpartition("参考资料:\n")[2].rsplit("用户问题: ", 1)
+            return self.answer(context, question.partition("\n")[0])
+        query = re.findall(r"查询：([^\n]*)", prompt)
+        return self.keywords(query[-1] if query else prompt)
+
+    def answer(self, context: str, question: str) -> str:
+        asked, found = self.pairs(question), []
+        for source, content in re.findall(r"^\[\d+\] 来源: ([^\n]*)\n(.*?)(?=\n\n\[\d+\] 来源: |\Z)", context.strip(), re.M | re.S):
+            found += [(len(asked & self.pairs(s)), s.strip(), source) for s in re.split(r"(?<=[。！？])|\n", content)]
+        best = sorted((x for x in enumerate(found) if x[1][0]), key=lambda x: (-x[1][0], x[0]))[: self.sentences]
+        return "\n".join(f"{s} [来源: {source}]" for _, (_, s, source) in sorted(best)) or "未找到相关信息"
+
+    @staticmethod
+    def pairs(text: str) -> set[str]:
+        plain = "".join(c for c in text if c.isalnum())
+        return {plain[i : i + 2] for i in range(len(plain) - 1)}
+
+    @staticmethod
+    def keywords(query: str) -> str:
+        out = query
+        for word in FILLERS:
+            out = out.replace(word, " ")
+        return " ".join(out.split()) or query.strip()
+
+
 MODELS: dict[str, Callable[..., Model]] = {}
 # Providers, the variable that holds their key, and their default models.
 PROVIDERS = {"openai": ("OPENAI_API_KEY", "gpt-3.5-turbo"), "deepseek": ("DEEPSEEK_API_KEY", "deepseek-chat")}

@@ -1,65 +1,90 @@
-"""BM25 over any tokens: an inverted index as tables, scores for many queries in one plan."""
+"""BM25 over any tokens: a stored inverted index, and scores for many queries in one plan.
+
+The index is written once, in the checkpoint folder or as Parquet under a path, and asked as often as needed. It is
+partitioned by document: a query's terms go to all partitions, each scores its own documents, and only the best leave
+it. So neither a frequent term nor a long posting list is ever in one task.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstream.functions.text import tokens
+from inkstream.session import cut
 
 # The ranking function's usual constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Asked terms, a row per query and term, that are sent to all partitions; more are shuffled, with the documents spread by a salt.
+MOST_ASKED = 200_000
+SALTS = 16
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``split (doc, terms)``, ``corpus (n_docs, avgdl)`` and ``terms (term, df, idf)``."""
+    """``postings (doc, dl, term, tf)``, where a document without terms has one row without a term; ``corpus (n_docs, avgdl)`` and ``terms (term, df, idf)``."""
 
-    split: DataFrame
+    postings: DataFrame
     corpus: DataFrame
     terms: DataFrame
 
-    def postings(self, only: DataFrame | None = None) -> DataFrame:
-        """``(term, doc, dl, tf)``, of the terms of ``only (term)`` if given: others are dropped before anything is counted or shuffled."""
-        each = self.split.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-        each = each if only is None else each.join(only.select("term").distinct(), "term", "left_semi")
-        return each.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
+    @property
+    def docs(self) -> DataFrame:
+        return self.postings.select("doc", "dl").distinct()
+
+    def save(self, path: str) -> None:
+        """As Parquet: postings sorted by term in every file, so that a reader skips what no query asks for."""
+        self.postings.sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "corpus", "terms")))
 
 
 def build_index(docs: DataFrame, tokenize: Callable[[Column], Column] = tokens, doc: str = "doc", text: str = "text") -> LexicalIndex:
-    """Term statistics of all documents. A term in more than half of them gets ``EPSILON`` of the mean idf."""
-    split = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text)).alias("terms"))
-    corpus = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avgdl"))
-    df = split.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(corpus)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    """The index of ``docs``, a row per document; every text is split once. A term in more than half of the documents gets ``EPSILON`` of the mean idf."""
+    split = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text)).alias("terms")).repartition("doc")
+    each = split.select("doc", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
+    # terms were split where their document is: counting them moves nothing
+    postings = cut(each.groupBy("doc", "dl", "term").agg(F.count("*").cast("int").alias("tf")))
+    corpus = cut(postings.select("doc", "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+    df = postings.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    raw = cut(df.join(F.broadcast(corpus)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(split, corpus, terms)
+    return LexicalIndex(postings, corpus, terms)
 
 
 def index_stats(index: LexicalIndex) -> DataFrame:
     return index.terms.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.count_if(F.col("idf") < 0).alias("n_negative"), F.round(F.avg("idf"), 6).alias("mean_idf")).join(F.broadcast(index.corpus.select("n_docs", F.round("avgdl", 6).alias("avgdl"))))
 
 
-def scores(index: LexicalIndex, queries: DataFrame, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
+def scores(index: LexicalIndex, queries: DataFrame, tokenize: Callable[[Column], Column] = tokens, most_asked: int = MOST_ASKED) -> DataFrame:
     """``(qid, doc, score)`` of ``queries (qid, text)`` for all documents that share a term; a repeated query token counts again."""
     asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    weighed = asked.join(index.terms, "term")
-    used = index.postings(asked).join(F.broadcast(index.corpus.select("avgdl")))
+    weighed = cut(asked.join(index.terms, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    if weighed.count() <= most_asked:
+        met = index.postings.join(F.broadcast(weighed), "term")
+    else:
+        salted = weighed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = index.postings.where("term is not null").withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"])
     tf = F.col("tf")
-    part = used.select("term", "doc", (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
-    return weighed.join(part, "term").groupBy("qid", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("w")), 6).alias("score"))
+    part = met.join(F.broadcast(index.corpus.select("avgdl"))).select("qid", "doc", (F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
+    return part.groupBy("qid", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def top_k(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """``(qid, doc, score, rank)``; of equal scores the document that was loaded first wins, and documents without a common term score 0.
 
-    Every query gets the first ``k`` documents as possible zeros, not all documents.
+    Every query gets the first ``k`` documents of ``docs (doc)`` as possible zeros, not all documents.
     """
+    best = scored.select("qid", "doc", "score").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k).drop("rank")
     first = docs.select("doc").orderBy("doc").limit(k)
-    zeros = queries.select("qid").distinct().join(F.broadcast(first.agg(F.collect_list("doc").alias("docs")))).select("qid", F.explode("docs").alias("doc")).join(scored, ["qid", "doc"], "left_anti").withColumn("score", F.lit(0.0))
-    every = scored.select("qid", "doc", "score").unionByName(zeros)
-    return every.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
+    scored_first = scored.join(F.broadcast(first), "doc", "left_semi").select("qid", "doc")
+    zeros = queries.select("qid").distinct().join(F.broadcast(first.agg(F.collect_list("doc").alias("docs")))).select("qid", F.explode("docs").alias("doc")).join(scored_first, ["qid", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    return best.unionByName(zeros).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +17,13 @@ from inkstream.operators.dense import doubles
 def mean_vector(interactions: DataFrame, vectors: DataFrame) -> DataFrame:
     """``(user_id, embedding)``: the mean of the vectors ``(id, embedding)`` of each user's ``(user_id, id)``; repeats count again.
 
-    Interactions are counted per user and vector first, so a busy user is no more than its different vectors.
+    Interactions are counted per user and vector first, and every task has one running mean per user, so a busy user is
+    no more than a vector per task.
     """
-    counted = interactions.where("user_id is not null and id is not null").groupBy("user_id", "id").agg(F.count("*").alias("n"))
-    parts = counted.join(vectors, "id").select("user_id", "n", F.posexplode(doubles(F.col("embedding"))).alias("dim", "x"))
-    dims = parts.groupBy("user_id", "dim").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
-    return dims.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("embedding"))
+    counted = interactions.where("user_id is not null and id is not null").groupBy("user_id", "id").agg(F.count("*").cast("double").alias("n"))
+    known = vectors.where("embedding is not null").select("id", array_to_vector(doubles(F.col("embedding"))).alias("v"))
+    means = counted.join(known, "id").groupBy("user_id").agg(Summarizer.mean(F.col("v"), F.col("n")).alias("v"))
+    return means.select("user_id", vector_to_array("v").alias("embedding"))
 
 
 def recent(interactions: DataFrame, k: int, *newest_first: str) -> DataFrame:
@@ -50,12 +55,22 @@ def recent_context(log: DataFrame, user: str, text: str, turns: int, *newest_fir
 
 def rerank(candidates: DataFrame, training: DataFrame, features: list[str], label: str, k: int = 5, seed: int = 7) -> DataFrame:
     """The ``k`` best ``candidates (qid, id, features)`` of each query by boosted trees that were trained on ``training``; without training rows all score 0."""
+    return _first(_tree_scores(candidates, training, features, label, seed), k)
+
+
+def rerank_held_out(rows: DataFrame, features: list[str], label: str, k: int = 5, seed: int = 7, folds: int = 2) -> DataFrame:
+    """``rerank`` of ``rows (qid, id, features, label)`` where no query is ranked by trees that saw its labels: queries are in ``folds`` by hash, each scored by the others' trees."""
+    fold = F.pmod(F.xxhash64("qid"), F.lit(folds))
+    scored = [_tree_scores(rows.where(fold == f), rows.where(fold != f), features, label, seed) for f in range(folds)]
+    return _first(reduce(DataFrame.unionByName, scored), k)
+
+
+def _tree_scores(candidates: DataFrame, training: DataFrame, features: list[str], label: str, seed: int) -> DataFrame:
     if training.isEmpty():
-        return _first(candidates.withColumn("score", F.lit(0.0)), k)
+        return candidates.withColumn("score", F.lit(0.0))
     assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
     model = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="_p", maxIter=10, maxDepth=3, seed=seed).fit(assembler.transform(training))
-    scored = model.transform(assembler.transform(candidates)).withColumn("score", F.round("_p", 6)).drop("_features", "_p")
-    return _first(scored, k)
+    return model.transform(assembler.transform(candidates)).withColumn("score", F.round("_p", 6)).drop("_features", "_p")
 
 
 def _first(scored: DataFrame, k: int) -> DataFrame:

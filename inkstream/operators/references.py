@@ -105,7 +105,11 @@ def orphan_counts(rows: DataFrame, id_col: str, at_col: str, targets: list[Targe
     groups = refs.groupBy("ref_table", "key", "period").agg(F.count_distinct("row_id").alias("n_refs"), F.min("judged_at").alias("first_at"), F.max("judged_at").alias("last_at"))
     verdict = join_life_spans(groups, spans, heavy).withColumn("state", state_of(F.col("first_at"), F.col("last_at")))
     mixed = verdict.where("state = 'mixed'").select("ref_table", "key", "period", "added_at", "deleted_at", "there")
-    single = refs.join(mixed, ["ref_table", "key", "period"]).withColumn("state", state_of(F.col("judged_at"), F.col("judged_at")))
+    on = ["ref_table", "key", "period"]
+    # a key's state changes in two months at most: of heavy keys that is a table of proven size, so their references stay where they are
+    hot = mixed.join(F.broadcast(heavy), ["ref_table", "key"], "left_semi")
+    rest = refs.join(F.broadcast(heavy), ["ref_table", "key"], "left_anti").join(mixed, on)
+    single = refs.join(F.broadcast(hot), on).unionByName(rest).withColumn("state", state_of(F.col("judged_at"), F.col("judged_at")))
     per_row = single.groupBy("ref_table", "period", "state").agg(F.count_distinct("row_id").alias("n_refs"))
     decided = verdict.where("state <> 'mixed'").select("ref_table", "period", "state", "n_refs")
     return decided.unionByName(per_row).where("state <> 'ok'").groupBy("ref_table", "period", "state").agg(F.sum("n_refs").alias("n_refs"))

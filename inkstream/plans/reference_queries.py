@@ -8,13 +8,16 @@ and click log, ``embeddings`` the vectors (relevant: another vector of the same
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.functions import chunks, prompts, text
 from inkstream.functions.hanzi import SIMPLIFIED, TRADITIONAL, to_simplified
 from inkstream.operators import dense, documents, eda, evaluate, fusion, generation, lexical, profile
-from inkstream.session import cut, table
+from inkstream.operators.skew import join_hot
+from inkstream.session import cut, spread, table
 from inkstream.sources import files
 
 QUERIES: dict = {}
@@ -86,7 +89,7 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _text_query(name: str, of: str, key: str, column: str, make, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, of).select(key, make(F.col(column)).alias("result"))
+        return spread(table(spark, sf_dir, of).select(key, column)).select(key, make(F.col(column)).alias("result"))
 
     run.__name__ = name
     query(f"SELECT {key}, {sql} AS result FROM {of}")(run)
@@ -130,12 +133,12 @@ def dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT content, lang FROM (SELECT {sql_strip('lower(' + sql_clean('text') + ')')} AS content, lang FROM documents) WHERE length(content) >= 10")
 def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.process_documents(table(spark, sf_dir, "documents").select(F.col("text").alias("content"), "lang"))
+    return documents.process_documents(spread(table(spark, sf_dir, "documents").select(F.col("text").alias("content"), "lang")))
 
 
 @query(f"SELECT DISTINCT \"Query\" FROM (SELECT {sql_strip('lower(' + sql_clean('query_text') + ')')} AS \"Query\" FROM click_log) WHERE length(\"Query\") > 0")
 def process_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.process_queries(table(spark, sf_dir, "click_log").select(F.col("query_text").alias("Query")))
+    return documents.process_queries(spread(table(spark, sf_dir, "click_log").select(F.col("query_text").alias("Query"))))
 
 
 @query(f"SELECT pid, substring(t, 1, 2000) AS text FROM (SELECT pid, {sql_tags('text')} AS t FROM passage_collection) WHERE length(t) >= 10")
@@ -370,9 +373,11 @@ def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- lexical search ------------------------------------------------------------------------------------------------
 
 
-def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each passage once; of copies that differ the greater text."""
-    rows = table(spark, sf_dir, "passage_collection").select("pid", text.strip_tags(F.col("text")).alias("text")).where("length(text) >= 10")
+def _passages(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Each passage once, or those of ``only (id)``; of copies that differ the greater text."""
+    raw = table(spark, sf_dir, "passage_collection").select("pid", "text")
+    raw = spread(raw) if only is None else raw.join(only.select(F.col("id").alias("pid")), "pid", "left_semi")
+    rows = raw.select("pid", text.strip_tags(F.col("text")).alias("text")).where("length(text) >= 10")
     return rows.groupBy(F.col("pid").alias("doc")).agg(F.max("text").alias("text"))
 
 
@@ -400,22 +405,25 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, do
 _BM25, _BM25_BIGRAMS = _sql_bm25(sql_tokens), _sql_bm25(sql_bigrams)
 
 
-def _ranked(spark: SparkSession, sf_dir: str, split=text.bigrams, k: int = 10) -> DataFrame:
-    return _bm25(_passages(spark, sf_dir), _questions(spark, sf_dir), split, k)
+@lru_cache(maxsize=8)
+def lexical_index(spark: SparkSession, sf_dir: str, split=text.bigrams) -> lexical.LexicalIndex:
+    """The passages' index, written once in a session and asked by every query of it."""
+    return lexical.build_index(_passages(spark, sf_dir), split)
 
 
-def _bm25(docs: DataFrame, asked: DataFrame, split, k: int) -> DataFrame:
-    return lexical.top_k(lexical.scores(lexical.build_index(docs, split), asked, split), asked, docs, k).withColumnRenamed("doc", "id")
+def _ranked(spark: SparkSession, sf_dir: str, split=text.bigrams, k: int = 10, asked: DataFrame | None = None) -> DataFrame:
+    index, asked = lexical_index(spark, sf_dir, split), _questions(spark, sf_dir) if asked is None else asked
+    return lexical.top_k(lexical.scores(index, asked, split), asked, index.docs, k).withColumnRenamed("doc", "id")
 
 
 @query(f"WITH {_BM25_BIGRAMS} SELECT count(*) AS n_terms, sum(df)::BIGINT AS n_postings, count(*) FILTER (idf < 0) AS n_negative, round(avg(idf), 6) AS mean_idf, (SELECT n_docs FROM corpus) AS n_docs, (SELECT round(avgdl, 6) FROM corpus) AS avgdl FROM terms")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.index_stats(lexical.build_index(_passages(spark, sf_dir), text.bigrams))
+    return lexical.index_stats(lexical_index(spark, sf_dir))
 
 
 @query(f"WITH {_BM25_BIGRAMS} SELECT qid, doc, score FROM scored")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.scores(lexical.build_index(_passages(spark, sf_dir), text.bigrams), _questions(spark, sf_dir), text.bigrams)
+    return lexical.scores(lexical_index(spark, sf_dir), _questions(spark, sf_dir), text.bigrams)
 
 
 @query(f"WITH {_BM25_BIGRAMS} SELECT qid, doc AS id, score, rank FROM ranked WHERE rank <= 10")
@@ -467,9 +475,7 @@ _NORMAL = sql_strip("lower(" + sql_clean("text") + ")")
 def rewrite_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reciprocal rank with normalised queries in place of the raw ones."""
     after = _questions(spark, sf_dir).withColumn("text", text.normalize_text(text.clean_text(F.col("text"))))
-    docs = _passages(spark, sf_dir)
-    ranked = lexical.top_k(lexical.scores(lexical.build_index(docs, text.bigrams), after, text.bigrams), after, docs).withColumnRenamed("doc", "id")
-    return evaluate.metrics(ranked, evaluate.relevant(_judged(spark, sf_dir), 2), after).select(F.lit("mrr").alias("metric"), F.col("mrr").alias("after"))
+    return evaluate.metrics(_ranked(spark, sf_dir, asked=after), evaluate.relevant(_judged(spark, sf_dir), 2), after).select(F.lit("mrr").alias("metric"), F.col("mrr").alias("after"))
 
 
 _TYPED = f"typed AS (SELECT qid, {ORACLE['classify_query'].split('SELECT qid, ')[1].split(' AS result')[0]} AS query_type FROM questions)"
@@ -510,13 +516,12 @@ _REWRITTEN = _BM25_BIGRAMS.replace(_QUESTIONS, f"asked_before AS ({_QUESTIONS[le
 @query("WITH " + ", ".join(f"{name} AS (WITH {lists}, {_JUDGED}, {_LIST} {_sql_metrics('list', 'judged', 'questions')})" for name, lists in (("base", _BM25_BIGRAMS), ("ours", _REWRITTEN))) + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, base.{m} AS base, ours.{m} AS ours, round(ours.{m} - base.{m}, 6) AS delta FROM base, ours" for m in _M))
 def rewrite_uplift_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at each k and the reciprocal rank of raw queries (base) and of normalised ones (ours) against one index."""
-    docs, before = cut(_passages(spark, sf_dir)), cut(_questions(spark, sf_dir))
+    before = cut(_questions(spark, sf_dir))
     after = before.withColumn("text", text.normalize_text(text.clean_text(F.col("text"))))
-    index, judged = lexical.build_index(docs, text.bigrams), evaluate.relevant(_judged(spark, sf_dir), 2)
+    judged = evaluate.relevant(_judged(spark, sf_dir), 2)
 
     def metrics(asked: DataFrame) -> DataFrame:
-        ranked = lexical.top_k(lexical.scores(index, asked, text.bigrams), asked, docs).withColumnRenamed("doc", "id")
-        return evaluate.metrics(ranked, judged, asked)
+        return evaluate.metrics(_ranked(spark, sf_dir, asked=asked), judged, asked)
 
     return evaluate.delta(metrics(after), metrics(before))
 
@@ -561,8 +566,16 @@ def pool_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, sf_dir: str, encoder: generation.Encoder | None = None) -> tuple[DataFrame, DataFrame]:
     """The 50 best passages by BM25 and the 50 nearest by the encoder's vectors."""
-    docs, asked = cut(_passages(spark, sf_dir)), cut(_questions(spark, sf_dir))
-    return _bm25(docs, asked, text.bigrams, 50), dense.search_texts(docs, asked, encoder or generation.HashingEncoder(), 50)
+    asked, encoder = cut(_questions(spark, sf_dir)), encoder or generation.HashingEncoder()
+    near = dense.search_texts(_embedded(spark, sf_dir) if isinstance(encoder, generation.HashingEncoder) else dense.embedded(_passages(spark, sf_dir), encoder), asked, encoder, 50)
+    return _ranked(spark, sf_dir, k=50, asked=asked), near
+
+
+@lru_cache(maxsize=4)
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages' vectors, written once in a session."""
+    return dense.embedded(_passages(spark, sf_dir), generation.HashingEncoder())
+
 
 
 @query()
@@ -651,12 +664,12 @@ def recent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = cut(_ranked(spark, sf_dir, k=20))
-    lengths = _passages(spark, sf_dir).select(F.col("doc").alias("id"), F.length("text").cast("double").alias("n_chars"))
+    lengths = _passages(spark, sf_dir, ranked).select(F.col("doc").alias("id"), F.length("text").cast("double").alias("n_chars"))
     popular = table(spark, sf_dir, "click_log").where("pid is not null").groupBy(F.col("pid").alias("id")).agg(F.count("*").cast("double").alias("clicks"))
     rows = ranked.join(lengths, "id").join(popular, "id", "left").fillna(0.0, ["clicks"]).select("qid", "id", F.col("score").alias("bm25"), F.col("rank").cast("double").alias("was"), "n_chars", "clicks")
     judged = _judged(spark, sf_dir).groupBy("qid", "id").agg(F.max("rel").cast("double").alias("rel"))
-    training = rows.join(judged, ["qid", "id"], "left").fillna(0.0, ["rel"])
-    return profile.rerank(rows, training, ["bm25", "was", "n_chars", "clicks"], "rel").select("qid", "id", "rank")
+    labelled = rows.join(judged, ["qid", "id"], "left").fillna(0.0, ["rel"])
+    return profile.rerank_held_out(labelled, ["bm25", "was", "n_chars", "clicks"], "rel").select("qid", "id", "rank")
 
 
 # ---- prompts -------------------------------------------------------------------------------------------------------
@@ -664,8 +677,8 @@ def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best passages of each question."""
-    docs = _passages(spark, sf_dir)
-    return cut(_ranked(spark, sf_dir, k=5)).join(docs.withColumnRenamed("doc", "id"), "id").select("qid", "rank", F.col("id").alias("pid"), F.concat(F.lit("p"), "id").alias("source"), F.col("text").alias("content"))
+    ranked = cut(_ranked(spark, sf_dir, k=5))
+    return ranked.join(_passages(spark, sf_dir, ranked).withColumnRenamed("doc", "id"), "id").select("qid", "rank", F.col("id").alias("pid"), F.concat(F.lit("p"), "id").alias("source"), F.col("text").alias("content"))
 
 
 _HITS = f"{_BM25_BIGRAMS}, hits AS (SELECT qid, rank, doc AS pid, 'p' || doc AS source, text AS content FROM ranked JOIN passages USING (doc) WHERE rank <= 5)"
@@ -687,15 +700,22 @@ def format_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TYPE_OF = ORACLE["classify_query"].split("SELECT qid, ")[1].split(" AS result")[0]
-_SYSTEM = "CASE query_type " + " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in prompts.SystemPrompts().prompts.items()) + " END"
+_SYSTEM = "CASE query_type " + " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in prompts.PROMPTS.items()) + " END"
 
 
 @query(f"SELECT qid, {_SYSTEM} AS system_prompt FROM (SELECT qid, {_TYPE_OF} AS query_type FROM queries_dev)")
 def system_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "queries_dev").select("qid", prompts.SystemPrompts().column(prompts.classify_query(F.col("text"))).alias("system_prompt"))
+    return table(spark, sf_dir, "queries_dev").select("qid", prompts.system_prompt(prompts.classify_query(F.col("text"))).alias("system_prompt"))
+
+
+def _sql_filled(template: str, **values: str) -> str:
+    out = q(template)
+    for name, value in values.items():
+        out = out.replace("{" + name + "}", f"' || {value} || '")
+    return out
 
 
-_USER = "'参考资料:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || '用户问题: ' || text || chr(10) || chr(10) || '请根据以上参考资料回答问题：'"
+_USER = _sql_filled(prompts.USER_TEMPLATE, context="coalesce(context, '')", question="text")
 
 
 @query(f"WITH {_HITS}, {_TRIM} SELECT qid, {_USER} AS user_prompt FROM questions LEFT JOIN contexts USING (qid)")
@@ -716,7 +736,7 @@ def passages_md(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rag_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(_hits(spark, sf_dir))
-    answers = generation.generate_answers(prompts.rag_prompts(_questions(spark, sf_dir), found), generation.CannedModel())
+    answers = generation.generate_answers(prompts.rag_prompts(_questions(spark, sf_dir), found), generation.ExtractiveModel())
     return answers.join(prompts.passages_markdown(found), "qid", "left")
 
 
@@ -724,8 +744,12 @@ def _asks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each logged query with its user's last three texts as context; users of a third kind have a profile."""
     log = table(spark, sf_dir, "click_log").select("event_id", "anonid", "query_text", "logged_at").distinct()
     context = profile.recent_context(log, "anonid", "query_text", 3, "logged_at", "event_id").withColumnRenamed("user_id", "anonid")
+    # one row per user, with context or without; the busiest users' rows don't move, and rows without a user join nothing
+    users = log.where("anonid is not null").groupBy("anonid").agg(F.count("*").alias("n")).join(context, "anonid", "left")
+    known = join_hot(log.where("anonid is not null"), users, ["anonid"], "n").drop("n")
+    every = known.unionByName(log.where("anonid is null").withColumn("context", F.lit(None).cast("string")))
     profiles = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("用户"), "anonid"))
-    return log.join(context, "anonid", "left").select("event_id", F.col("query_text").alias("query"), F.when((F.col("event_id") % 2 == 0) & F.col("context").isNotNull(), F.split("context", "\n")).alias("context"), profiles.alias("user_profile"))
+    return every.select("event_id", F.col("query_text").alias("query"), F.when((F.col("event_id") % 2 == 0) & F.col("context").isNotNull(), F.split("context", "\n")).alias("context"), profiles.alias("user_profile"))
 
 
 _ASKS = f"""asks AS (WITH c AS ({ORACLE['recent_context']}) SELECT event_id, query_text AS query, CASE WHEN event_id % 2 = 0 THEN context END AS context, CASE WHEN event_id % 3 = 0 THEN '用户' || anonid END AS user_profile FROM (SELECT DISTINCT event_id, anonid, query_text, logged_at FROM click_log) l LEFT JOIN c ON l.anonid = c.user_id)"""
@@ -737,23 +761,19 @@ def select_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asks(spark, sf_dir).select("event_id", prompts.select_template(F.col("context"), F.col("user_profile")).alias("template"))
 
 
-def _sql_filled(template: str) -> str:
-    out = q(template)
-    for name, value in (("query", sql_strip("query")), ("context", "context"), ("user_profile", "user_profile")):
-        out = out.replace("{" + name + "}", f"' || {value} || '")
-    return out
+_VALUES = {"query": sql_strip("query"), "context": "context", "user_profile": "user_profile"}
 
 
-@query(f"WITH {_ASKS} SELECT event_id, CASE WHEN coalesce({sql_strip('query')}, '') = '' THEN NULL ELSE CASE template " + " ".join(f"WHEN '{n}' THEN {_sql_filled(prompts.Templates().get(n))}" for n in ("query_rewrite_full", "query_rewrite_context", "query_rewrite_personalized", "query_rewrite_basic")) + f" END END AS prompt FROM (SELECT *, {_CHOICE} AS template FROM asks)")
+@query(f"WITH {_ASKS} SELECT event_id, CASE WHEN coalesce({sql_strip('query')}, '') = '' THEN NULL ELSE CASE template " + " ".join(f"WHEN '{n}' THEN {_sql_filled(prompts.TEMPLATES[n], **_VALUES)}" for n in ("query_rewrite_full", "query_rewrite_context", "query_rewrite_personalized", "query_rewrite_basic")) + f" END END AS prompt FROM (SELECT *, {_CHOICE} AS template FROM asks)")
 def rewrite_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asks(spark, sf_dir).select("event_id", prompts.rewrite_prompt(F.col("query"), F.col("context"), F.col("user_profile")).alias("prompt"))
 
 
 @query()
 def rewrite_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _questions(spark, sf_dir).withColumnRenamed("text", "query")
+    rows = table(spark, sf_dir, "queries_dev").select("qid", F.col("text").alias("query"))
     prompt = prompts.rewrite_prompt(F.col("query"), F.array().cast("array<string>"), F.lit(""))
-    return generation.rewrite_queries(rows, prompt, generation.CannedModel("重写结果"))
+    return generation.rewrite_queries(rows, prompt, generation.ExtractiveModel())
 
 
 @query()

@@ -27,3 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there: later plans neither recompute it nor lose it with an executor."""
     use_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores if they come from fewer partitions, as those of a small file do: for steps that cost more than moving the rows."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from collections.abc import Callable
+from typing import TypeVar
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from inkstream.functions.text import SPACE, strip
 
+T = TypeVar("T")
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """With a header line; quoted fields may hold separators and line breaks."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """With a header line; quoted fields may hold separators and, with ``multi_line``, line breaks. Without it a large file is read by many tasks."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
@@ -48,10 +52,21 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", decode("content").alias("content"))
 
 
+def missing_is_none(read: Callable[[], T], none: T) -> T:
+    """What ``read`` gives; ``none`` if there is no such path. Other errors are raised."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
+
+
 def list_files(spark: SparkSession, folder: str, extension: str | None = None) -> DataFrame:
-    """``(name)`` of a folder's files, sorted; of a missing folder none. Only names are read."""
-    names = sorted(p.name for p in Path(folder).iterdir() if extension is None or p.name.endswith(extension)) if Path(folder).is_dir() else []
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    """``(name)`` of a folder's files, sorted; of a missing folder none. Any file system that Spark reads; only names are read, hidden files are left out."""
+    none = spark.createDataFrame([], "path string")
+    names = missing_is_none(lambda: spark.read.format("binaryFile").load(folder).select("path"), none).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    return (names if extension is None else names.where(F.col("name").endswith(extension))).orderBy("name")
 
 
 def preview(spark: SparkSession, path: str, lines: int = 10, width: int = 100) -> DataFrame:
@@ -79,7 +94,7 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 def count_data_lines(spark: SparkSession, path: str) -> int:
     """Lines without the header; 0 for an empty or missing file."""
-    return max(0, spark.read.text(path).count() - 1) if Path(path).exists() else 0
+    return max(0, missing_is_none(lambda: spark.read.text(path).count(), 0) - 1)
 
 
 def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -90,24 +105,37 @@ def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> bool:
-    return _written(lambda: rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path))
+    """Writers return True; what goes wrong is raised."""
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return True
 
 
 def write_json(rows: DataFrame, path: str) -> bool:
-    return _written(lambda: rows.write.mode("overwrite").json(path))
+    rows.write.mode("overwrite").json(path)
+    return True
 
 
 def write_parquet(rows: DataFrame, path: str) -> bool:
-    return _written(lambda: rows.write.mode("overwrite").parquet(path))
+    rows.write.mode("overwrite").parquet(path)
+    return True
 
 
 def write_text(rows: DataFrame, path: str) -> bool:
-    return _written(lambda: rows.select("value").write.mode("overwrite").text(path))
-
-
-def _written(write) -> bool:
-    try:
-        write()
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+    rows.select("value").write.mode("overwrite").text(path)
+    return True
+
+
+def rewrite_parquet(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``change`` applied to a dataset in place: the new one is written beside it, the old one is kept as ``<path>.bak`` in place of an earlier one, then the new one gets the name.
+
+    Until the last renaming the old data are complete under one of the two names.
+    """
+    change(spark.read.parquet(path)).write.mode("overwrite").parquet(f"{path}.new")
+    jvm = spark._jvm
+    old, new, backup = (jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".new", ".bak"))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(backup, True)
+    for source, target in ((old, backup), (new, old)):
+        if not fs.rename(source, target):
+            raise OSError(f"{source} could not be renamed to {target}")
+    return spark.read.parquet(path)

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkstream.operators import documents, eda
@@ -66,6 +67,45 @@ def test_incremental_build_resumes(spark, tmp_path):
     assert incremental.index_info(spark, target).first()["batches"] == 2
 
 
+def test_build_in_parts_and_anew(spark, tmp_path):
+    source, target, schema = str(tmp_path / "in"), str(tmp_path / "out"), "pid string, text string"
+    spark.createDataFrame([(str(i), "足够长的一段文字内容" if i % 4 else "短") for i in range(40)], schema).repartition(4).write.parquet(source)
+    build = lambda **o: incremental.build_index(spark, source, target, schema, files_per_batch=1, **o)
+    build(max_batches=1)
+    first = incremental.read_index(spark, target).count()
+    assert 0 < first < 30 and incremental.index_info(spark, target).first()["batches"] == 1
+    build(max_batches=2)
+    build()
+    assert incremental.read_index(spark, target).select("id").distinct().count() == incremental.read_index(spark, target).count() == 30
+    assert {r["outcome"]: r["n"] for r in incremental.outcomes(spark.read.parquet(source)).collect()} == {"stored": 30, "short": 10}
+    build(rebuild=True, max_batches=1)
+    assert incremental.index_info(spark, target).first()["batches"] == 1
+    assert incremental.build_or_load(spark, source, target, schema).count() == incremental.read_index(spark, target).count()
+    assert incremental.build_or_load(spark, source, target + "2", schema).count() == 30
+
+
+def test_paths_with_a_scheme_and_errors(spark, tmp_path):
+    url = f"file://{tmp_path}"
+    (tmp_path / "a.tsv").write_text("h\th\n1\tx\n", "utf-8")
+    assert [r["name"] for r in files.list_files(spark, url).collect()] == ["a.tsv"] and files.list_files(spark, url + "/none").count() == 0
+    assert files.count_data_lines(spark, url + "/a.tsv") == 1 and files.count_data_lines(spark, url + "/none") == 0
+    with pytest.raises(Exception, match=".+"):
+        files.write_parquet(spark.createDataFrame([(1,)], "a int"), "nosuchscheme://x/y")
+    (tmp_path / "c.csv").write_text('a,b\n1,"x ""y"""\n', "utf-8")
+    assert [tuple(r) for r in files.read_csv(spark, url + "/c.csv", "a int, b string", multi_line=False).collect()] == [(1, 'x "y"')]
+
+
+def test_rewrite_in_place_keeps_a_backup(spark, tmp_path):
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(1, "這")], "id int, text string").write.parquet(path)
+    for _ in range(2):
+        got = files.rewrite_parquet(spark, path, lambda rows: documents.simplified_update(rows.withColumns({"title": F.lit("t"), "length": F.lit(1)})).select("id", "text"))
+    assert got.first()["text"] == "这" and spark.read.parquet(path + ".bak").first()["text"] == "这"
+    with pytest.raises(ZeroDivisionError):
+        files.rewrite_parquet(spark, path, lambda rows: rows.limit(1 // 0))
+    assert spark.read.parquet(path).count() == 1
+
+
 def test_documents_and_figures(spark):
     df = spark.createDataFrame([("<b>Hello, World Text</b>",), ("hello, world text",), ("x",), (None,)], "content string")
     assert [r["content"] for r in documents.process_documents(df).collect()] == ["hello, world text"]

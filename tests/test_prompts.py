@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstream.functions import prompts
-from inkstream.operators.generation import CannedModel, HashingEncoder, IntentConfig, create_model, embed, generate_answers, register_model, rewrite_one, rewrite_queries, stream_answer
+from inkstream.operators.generation import CannedModel, ExtractiveModel, HashingEncoder, IntentConfig, create_model, embed, generate_answers, register_model, rewrite_one, rewrite_queries, stream_answer
 
 
 @pytest.mark.parametrize(
@@ -32,33 +32,33 @@ def test_prompt_keeps_braces_of_passages(spark):
 
 
 def test_templates():
-    t = prompts.Templates()
-    t.register("mine", "{a}-{b}", ["a", "b"])
-    assert t.format("mine", a="1", b="{a}", c="3") == "1-{a}"
-    assert t.variables("mine") == ["a", "b"] and t.get("none") is None and "query_rewrite_basic" in t.names()
-    for call in (lambda: t.format("none"), lambda: t.format("mine", a="1"), lambda: t.variables("none")):
+    mine = prompts.TEMPLATES | {"mine": "{a}-{b}"}
+    text = prompts.template_named("mine", mine)
+    assert prompts.format_template(text, a="1", b="{a}", c="3") == "1-{a}"
+    assert prompts.template_variables(text) == ["a", "b"] and "none" not in mine and "query_rewrite_basic" in mine
+    for call in (lambda: prompts.template_named("none"), lambda: prompts.format_template(text, a="1"), lambda: prompts.rewrite_prompt(F.lit("q"), F.array(), F.lit(""), default="none")):
         with pytest.raises(ValueError):
             call()
 
 
-def test_system_prompts():
-    s = prompts.SystemPrompts()
-    s.add("x", "p", "shot")
-    assert s.get("x") == "p\n\nshot" and s.get("none") == s.get("default")
-    s.remove("x")
-    s.remove("default")
-    assert s.get("x") == s.get("default")
+def test_system_prompts(spark):
+    mine = prompts.with_prompt(prompts.PROMPTS, "x", "p", "shot")
+    types = spark.createDataFrame([("x",), ("none",), ("default",), (None,)], "t string")
+    x, *others = (r[0] for r in types.select(prompts.system_prompt(F.col("t"), mine)).collect())
+    assert x == "p\n\nshot" and set(others) == {prompts.PROMPTS["default"]} and "x" not in prompts.PROMPTS
+    assert prompts.with_prompt({}, "y", "p") == {"y": "p"}
+    assert "x" not in prompts.without_prompt(mine, "x") and "default" in prompts.without_prompt(mine, "default")
 
 
 def test_rewrite_prompts(spark):
     rows = [(1, " 查询 ", ["a", "b"], "爱好"), (2, "q", ["a"], None), (3, "q", None, "p"), (4, "q", [], ""), (5, "  ", None, None), (6, None, None, None)]
     df = spark.createDataFrame(rows, "i int, query string, context array<string>, p string")
     got = [r[0] for r in df.orderBy("i").select(prompts.rewrite_prompt(F.col("query"), F.col("context"), F.col("p"))).collect()]
-    t = prompts.Templates()
-    assert got[0] == t.format("query_rewrite_full", query="查询", context="a\nb", user_profile="爱好")
-    assert got[1] == t.format("query_rewrite_context", query="q", context="a")
-    assert got[2] == t.format("query_rewrite_personalized", query="q", user_profile="p")
-    assert got[3] == t.format("query_rewrite_basic", query="q") and got[4:] == [None, None]
+    t = lambda name, **values: prompts.format_template(prompts.TEMPLATES[name], **values)
+    assert got[0] == t("query_rewrite_full", query="查询", context="a\nb", user_profile="爱好")
+    assert got[1] == t("query_rewrite_context", query="q", context="a")
+    assert got[2] == t("query_rewrite_personalized", query="q", user_profile="p")
+    assert got[3] == t("query_rewrite_basic", query="q") and got[4:] == [None, None]
     only = df.where("i = 1").select(prompts.select_template(F.col("context"), F.col("p"), both=False)).first()[0]
     assert only == "query_rewrite_personalized"
 
@@ -81,6 +81,16 @@ def test_rewrite_falls_back(spark):
             rewrite_one(model, query, "p")
 
 
+def test_extractive_model(spark):
+    hits = spark.createDataFrame([("q", 1, "甲", "天气很好。长城的长度是两万公里。再见。"), ("q", 2, "乙", "长城很长！苹果很甜。")], "qid string, rank int, source string, content string")
+    asked = prompts.rag_prompts(spark.createDataFrame([("q", "长城的长度是多少？"), ("r", "无关问题")], "qid string, text string"), hits)
+    got = {r["qid"]: r["answer"] for r in generate_answers(asked, ExtractiveModel()).collect()}
+    assert got == {"q": "长城的长度是两万公里。 [来源: 甲]\n长城很长！ [来源: 乙]", "r": "未找到相关信息"}
+    rows = spark.createDataFrame([("请问什么是 光合作用？",), ("谁",), ("  ",)], "query string")
+    prompt = prompts.rewrite_prompt(F.col("query"), F.array().cast("array<string>"), F.lit(""))
+    assert [r["rewritten"] for r in rewrite_queries(rows, prompt, ExtractiveModel()).collect()] == ["光合作用", "谁", "  "]
+
+
 def test_answers(spark):
     df = spark.createDataFrame([("q", "default", "s", "u")], "qid string, query_type string, system_prompt string, user_prompt string")
     assert generate_answers(df, CannedModel("好")).first()["answer"] == "好"
