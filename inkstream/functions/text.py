@@ -53,6 +53,11 @@ def replaced(c: Column, steps: list[tuple[str, str]]) -> Column:
     return c
 
 
+def once(c: Column) -> Column:
+    """``c`` as a column that is computed once: a later filter on it is neither merged with it nor moved before a step that spreads the rows."""
+    return F.explode(F.array(c))
+
+
 def clean_text(c: Column) -> Column:
     """Tags, entities and special characters removed, white space made single; null becomes empty."""
     return strip(replaced(strip(F.coalesce(c, F.lit(""))), CLEAN_STEPS))

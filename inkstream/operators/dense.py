@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -71,12 +71,15 @@ class Nearest:
         self.of, self.d, self.ids = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
         self.worst = np.full(len(queries), np.inf)
 
-    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, rows: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Rows meet all queries, or those numbered ``asked``."""
+        asked = np.arange(len(self.queries)) if asked is None else asked
         for a in range(0, len(rows), STEP):
-            d = distances(rows[a : a + STEP], self.queries, self.metric)
-            limit = np.minimum(np.partition(d, self.k - 1, axis=1)[:, self.k - 1], self.worst) if d.shape[1] >= self.k else self.worst
+            d = distances(rows[a : a + STEP], self.queries[asked], self.metric)
+            worst = self.worst[asked]
+            limit = np.minimum(np.partition(d, self.k - 1, axis=1)[:, self.k - 1], worst) if d.shape[1] >= self.k else worst
             q, row = np.nonzero(d <= limit[:, None])
-            self.keep(np.concatenate([self.of, q]), np.concatenate([self.d, d[q, row]]), np.concatenate([self.ids, ids[a : a + STEP][row]]))
+            self.keep(np.concatenate([self.of, asked[q]]), np.concatenate([self.d, d[q, row]]), np.concatenate([self.ids, ids[a : a + STEP][row]]))
 
     def keep(self, of: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
         order = np.lexsort((np.unique(ids, return_inverse=True)[1], d, of)) if len(of) else np.empty(0, np.int64)
@@ -118,20 +121,26 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cos
     those are shuffled. Of several blocks, each one's result is written before the next is fetched, so the driver never
     has more than one. Of equal distances the smaller id wins. Distances have nine digits. A null id or vector is no row.
     """
-    asked = queries.select("qid", "embedding").where("qid is not null and embedding is not null")
     qtype = queries.schema["qid"].dataType.simpleString()
+    return in_blocks(index, queries, block, lambda rows: _block(index, rows, qtype, k, metric, exclude_self))
+
+
+def in_blocks(index: DataFrame, queries: DataFrame, block: int, of_block: Callable[[list], DataFrame]) -> DataFrame:
+    """``of_block`` of every ``block`` of ``queries (qid, embedding)``, put together."""
+    asked = queries.select("qid", "embedding").where("qid is not null and embedding is not null")
     rows = asked.limit(block + 1).collect()
     if not rows:
-        return index.sparkSession.createDataFrame([], f"qid {qtype}, id {index.schema['id'].dataType.simpleString()}, distance double, rank int")
+        types = (d.schema[c].dataType.simpleString() for d, c in ((queries, "qid"), (index, "id")))
+        return index.sparkSession.createDataFrame([], "qid {}, id {}, distance double, rank int".format(*types))
     if len(rows) <= block:
-        return _block(index, rows, qtype, k, metric, exclude_self)
+        return of_block(rows)
     placed = cut(asked)
     # by hash, with some room, so that hardly a block is larger
     blocks = -(-placed.count() * 9 // (8 * block))
     parts = []
     for b in range(blocks):
         rows = placed.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
-        parts += [cut(_block(index, rows, qtype, k, metric, exclude_self))] if rows else []
+        parts += [cut(of_block(rows))] if rows else []
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstream.functions.hanzi import SIMPLIFIED, TRADITIONAL, to_simplified
-from inkstream.functions.text import clean_text, normalize_text, strip, strip_tags, strip_tags_ws, wiki_clean
+from inkstream.functions.text import clean_text, normalize_text, once, strip, strip_tags, strip_tags_ws, wiki_clean
 from inkstream.session import cut
 
 # The passages' length limits.
@@ -26,26 +26,26 @@ def process_documents(rows: DataFrame, min_length: int = MIN_LENGTH) -> DataFram
     """Cleaned, normalised ``content``, short rows and repeats dropped. Without that column the rows pass through."""
     if "content" not in rows.columns:
         return rows
-    return remove_duplicates(filter_short(rows.withColumn("content", normalize_text(clean_text(F.col("content")))), min_length))
+    return remove_duplicates(filter_short(rows.withColumn("content", once(normalize_text(clean_text(F.col("content"))))), min_length))
 
 
 def process_queries(rows: DataFrame) -> DataFrame:
     """Cleaned, normalised ``Query``, empty rows and repeats dropped. Without that column the rows pass through."""
     if "Query" not in rows.columns:
         return rows
-    return remove_duplicates(rows.withColumn("Query", normalize_text(clean_text(F.col("Query")))).where(F.length("Query") > 0))
+    return remove_duplicates(rows.withColumn("Query", once(normalize_text(clean_text(F.col("Query"))))).where(F.length("Query") > 0))
 
 
 def load_passages(collection: DataFrame, pos: str = "pid", max_passages: int = 0, min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH) -> DataFrame:
     """``(pid, text)`` without tags, long enough, cut at ``max_length``; the first ``max_passages`` by ``pos`` if that is positive."""
-    kept = collection.withColumn("text", strip_tags(F.col("text"))).where(F.length("text") >= min_length).withColumn("text", F.substring("text", 1, max_length))
+    kept = collection.withColumn("text", once(strip_tags(F.col("text")))).where(F.length("text") >= min_length).withColumn("text", F.substring("text", 1, max_length))
     return (kept.orderBy(pos).limit(max_passages) if max_passages > 0 else kept).select("pid", "text")
 
 
 def passage_batch(collection: DataFrame, pos: str, after: str | int | None, batch_size: int, min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH) -> DataFrame:
     """The next ``batch_size`` kept passages after position ``after``, with their position."""
     later = collection if after is None else collection.where(F.col(pos) > F.lit(after))
-    kept = later.withColumn("text", strip_tags_ws(F.col("text"))).where(F.length("text") >= min_length).withColumn("text", F.substring("text", 1, max_length))
+    kept = later.withColumn("text", once(strip_tags_ws(F.col("text")))).where(F.length("text") >= min_length).withColumn("text", F.substring("text", 1, max_length))
     return kept.orderBy(pos, "text").limit(batch_size)
 
 
@@ -68,23 +68,23 @@ def in_pool(queries: DataFrame, qrels: DataFrame, passages: DataFrame) -> DataFr
     return queries.join(qrels.join(passages.select("pid"), "pid", "left_semi").select("qid"), "qid", "left_semi")
 
 
-def skip_reason(title: Column, text: Column, namespace: Column, min_length: int = 200) -> Column:
-    """Why a wiki page is no article; null if it is one. The first reason that holds counts."""
+def skip_reason(title: Column, text: Column, namespace: Column, min_length: int = 200, cleaned: Column | None = None) -> Column:
+    """Why a wiki page is no article; null if it is one. The first reason that holds counts. ``cleaned`` is the text without markup, where it is at hand."""
     low = F.lower(text)
     return (
         F.when(title.isNull() | text.isNull(), "missing")
         .when(F.coalesce(namespace, F.lit("0")) != "0", "namespace")
         .when(low.startswith("#redirect") | low.startswith("#重定向"), "redirect")
         .when(text.contains("{{消歧义") | low.contains("{{disambiguation") | low.contains("{{disambig"), "disambiguation")
-        .when(F.length(wiki_clean(text)) < min_length, "short")
+        .when(F.length(wiki_clean(text) if cleaned is None else cleaned) < min_length, "short")
     )
 
 
 def wiki_articles(pages: DataFrame, num_articles: int = 0, min_length: int = 200, pos: str = "pos") -> DataFrame:
     """``(id, title, text, length)`` of pages ``(pos, title, ns, text)`` that are articles; ids count from 0 in page order."""
-    kept = pages.where(skip_reason(F.col("title"), F.col("text"), F.col("ns").cast("string"), min_length).isNull())
-    text = to_simplified(wiki_clean(F.col("text")))
-    out = kept.select(F.col(pos).alias("pos"), strip(F.col("title")).alias("title"), text.alias("text"))
+    cleaned = pages.withColumn("_clean", once(wiki_clean(F.col("text"))))
+    kept = cleaned.where(skip_reason(F.col("title"), F.col("text"), F.col("ns").cast("string"), min_length, F.col("_clean")).isNull())
+    out = kept.select(F.col(pos).alias("pos"), strip(F.col("title")).alias("title"), to_simplified(F.col("_clean")).alias("text"))
     out = out.orderBy("pos").limit(num_articles) if num_articles > 0 else out
     return numbered(out, "pos").select("id", "title", "text", F.length("text").alias("length"))
 

@@ -1,6 +1,6 @@
 """BM25 over any tokens: a stored inverted index, and scores for many queries in one plan.
 
-The index is written once, in the checkpoint folder or as Parquet under a path, and asked as often as needed. It is
+The index is written once, as Parquet in the checkpoint folder or under a path, and asked as often as needed. It is
 partitioned by document: a query's terms go to all partitions, each scores its own documents, and only the best leave
 it. So neither a frequent term nor a long posting list is ever in one task.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstream.functions.text import tokens
-from inkstream.session import cut
+from inkstream.session import cut, stored
 
 # The ranking function's usual constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -25,39 +25,36 @@ SALTS = 16
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``postings (doc, dl, term, tf)``, where a document without terms has one row without a term; ``corpus (n_docs, avgdl)`` and ``terms (term, df, idf)``."""
+    """``postings (doc, dl, term, tf)`` sorted by term in every file, ``docs (doc, dl)``, ``corpus (n_docs, avgdl)`` and ``terms (term, df, idf)``."""
 
     postings: DataFrame
+    docs: DataFrame
     corpus: DataFrame
     terms: DataFrame
 
-    @property
-    def docs(self) -> DataFrame:
-        return self.postings.select("doc", "dl").distinct()
-
     def save(self, path: str) -> None:
-        """As Parquet: postings sorted by term in every file, so that a reader skips what no query asks for."""
-        self.postings.sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        for name in ("postings", "docs", "corpus", "terms"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "corpus", "terms")))
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "corpus", "terms")))
 
 
 def build_index(docs: DataFrame, tokenize: Callable[[Column], Column] = tokens, doc: str = "doc", text: str = "text") -> LexicalIndex:
     """The index of ``docs``, a row per document; every text is split once. A term in more than half of the documents gets ``EPSILON`` of the mean idf."""
     split = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text)).alias("terms")).repartition("doc")
     each = split.select("doc", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
-    # terms were split where their document is: counting them moves nothing
-    postings = cut(each.groupBy("doc", "dl", "term").agg(F.count("*").cast("int").alias("tf")))
-    corpus = cut(postings.select("doc", "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
-    df = postings.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    raw = cut(df.join(F.broadcast(corpus)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    # terms were split where their document is: counting them moves nothing; a document without terms has one row without a term
+    counted = stored(each.groupBy("doc", "dl", "term").agg(F.count("*").cast("int").alias("tf")).sortWithinPartitions("term", "doc"))
+    lengths = stored(counted.select("doc", "dl").distinct())
+    corpus = stored(lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+    postings = counted.where("term is not null")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    raw = stored(df.join(F.broadcast(corpus)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, corpus, terms)
+    return LexicalIndex(postings, lengths, corpus, stored(terms))
 
 
 def index_stats(index: LexicalIndex) -> DataFrame:
@@ -66,15 +63,16 @@ def index_stats(index: LexicalIndex) -> DataFrame:
 
 def scores(index: LexicalIndex, queries: DataFrame, tokenize: Callable[[Column], Column] = tokens, most_asked: int = MOST_ASKED) -> DataFrame:
     """``(qid, doc, score)`` of ``queries (qid, text)`` for all documents that share a term; a repeated query token counts again."""
-    asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    weighed = cut(asked.join(index.terms, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
-    if weighed.count() <= most_asked:
-        met = index.postings.join(F.broadcast(weighed), "term")
+    asked = cut(queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf")))
+    weight = (F.col("qtf") * F.col("idf")).alias("weight")
+    if asked.count() <= most_asked:
+        met = index.postings.join(F.broadcast(index.terms.join(F.broadcast(asked), "term").select("qid", "term", weight)), "term")
     else:
-        salted = weighed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = index.postings.where("term is not null").withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"])
+        salted = asked.join(index.terms, "term").select("qid", "term", weight).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = index.postings.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"])
+    average = index.corpus.first()["avgdl"] or 1.0
     tf = F.col("tf")
-    part = met.join(F.broadcast(index.corpus.select("avgdl"))).select("qid", "doc", (F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
+    part = met.select("qid", "doc", (F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(average)))).alias("w"))
     return part.groupBy("qid", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inkstream.functions import chunks, prompts, text
 from inkstream.functions.hanzi import SIMPLIFIED, TRADITIONAL, to_simplified
-from inkstream.operators import dense, documents, eda, evaluate, fusion, generation, lexical, profile
+from inkstream.operators import cells, dense, documents, eda, evaluate, fusion, generation, lexical, profile
 from inkstream.operators.skew import join_hot
 from inkstream.session import cut, spread, table
 from inkstream.sources import files
@@ -143,7 +143,7 @@ def process_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT pid, substring(t, 1, 2000) AS text FROM (SELECT pid, {sql_tags('text')} AS t FROM passage_collection) WHERE length(t) >= 10")
 def load_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.load_passages(table(spark, sf_dir, "passage_collection"))
+    return documents.load_passages(spread(table(spark, sf_dir, "passage_collection").select("pid", "text")))
 
 
 @query(f"SELECT pid, substring(t, 1, 2000) AS text FROM (SELECT pid, {sql_tags_ws('text')} AS t FROM passage_collection) WHERE length(t) >= 10 AND pid > '10000500' ORDER BY pid, substring(t, 1, 2000) LIMIT 100")
@@ -338,6 +338,24 @@ def dense_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.above(dense.search(_vectors(spark, sf_dir), _asked(spark, sf_dir)))
 
 
+@lru_cache(maxsize=4)
+def _cells(spark: SparkSession, sf_dir: str) -> cells.CellIndex:
+    return cells.build_cells(_vectors(spark, sf_dir))
+
+
+@query()
+def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate search; ``dense_topk`` is the exact one."""
+    return cells.search_cells(_cells(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query()
+def dense_cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate search against the exact one, every vector asked."""
+    every = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
+    return cells.recall(cells.search_cells(_cells(spark, sf_dir), every), dense.search(_vectors(spark, sf_dir), every))
+
+
 @query("SELECT vec_id, dim, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding)))::INT AS dim, unnest(embedding::DOUBLE[]) AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(dense.l2_normalize(F.col("embedding"))).alias("dim", "x"))
@@ -377,7 +395,7 @@ def _passages(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -
     """Each passage once, or those of ``only (id)``; of copies that differ the greater text."""
     raw = table(spark, sf_dir, "passage_collection").select("pid", "text")
     raw = spread(raw) if only is None else raw.join(only.select(F.col("id").alias("pid")), "pid", "left_semi")
-    rows = raw.select("pid", text.strip_tags(F.col("text")).alias("text")).where("length(text) >= 10")
+    rows = raw.select("pid", text.once(text.strip_tags(F.col("text"))).alias("text")).where("length(text) >= 10")
     return rows.groupBy(F.col("pid").alias("doc")).agg(F.max("text").alias("text"))
 
 

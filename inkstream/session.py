@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` written as Parquet in the checkpoint folder, in a folder for each value of ``by``, and read from there: for tables that are asked again and again."""
+    use_checkpoints(rows.sparkSession)
+    path = f"{rows.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    rows.write.partitionBy(*by).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` over all cores if they come from fewer partitions, as those of a small file do: for steps that cost more than moving the rows."""
     cores = rows.sparkSession.sparkContext.defaultParallelism

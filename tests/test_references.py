@@ -36,6 +36,15 @@ def test_counts_look_into_months_where_a_state_changes(spark):
     assert [(r["state"], r["n_refs"]) for r in got] == [("deleted", 11)]
 
 
+def test_hot_key_whose_state_changes_within_a_month(spark):
+    refs = spark.createDataFrame([(i, "7" if i % 3 else "8", dt.datetime(2024, 5, 1 + i % 20), None) for i in range(3000)], REFS)
+    rows = [("7", BEFORE, AT), ("8", BEFORE, dt.datetime(2024, 5, 15))]
+    want = sum((i % 20 >= 9 if i % 3 else i % 20 >= 14) for i in range(3000))
+    for most in (1, 2, 10_000):
+        got = orphan_counts(refs, "id", "judged_at", targets(spark, rows), most).collect()
+        assert [(r["state"], r["n_refs"]) for r in got] == [("deleted", want)]
+
+
 def test_hot_key_is_heavy_and_right(spark):
     refs = spark.createDataFrame([(i, "7" if i % 3 else str(i), AT, None) for i in range(3000)], REFS)
     got = orphan_references(refs, "id", "judged_at", targets(spark, [("7", LATER, None)]), 10)

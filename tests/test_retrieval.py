@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstream.functions.text import tokens
-from inkstream.operators import dense, evaluate, fusion, lexical, profile
+from inkstream.operators import cells, dense, evaluate, fusion, lexical, profile
 
 VECTORS = "id long, embedding array<float>"
 
@@ -45,6 +45,28 @@ def test_dense_equals_brute_force(spark, metric):
             assert got[q, rank] == i
 
 
+def clustered(n, seed=3):
+    import random
+
+    rng = random.Random(seed)
+    at = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    return [(i, [x + rng.gauss(0, 0.6) for x in at[i % 12]]) for i in range(n)]
+
+
+def test_cells_find_most_and_all_of_them_exactly(spark):
+    index = spark.createDataFrame([*clustered(1500), (9000, None), (9001, [0.0] * 16)], "id long, embedding array<double>").repartition(5)
+    asked = index.where("id % 10 = 0").withColumnRenamed("id", "qid")
+    built, exact = cells.build_cells(index), dense.search(index, asked, 10)
+    assert built.rows.count() == 1501 and len(built.centers) > 20
+    got = cells.recall(cells.search_cells(built, asked, 10), exact).first()
+    assert got["n_hits"] == 1500 and got["recall"] >= 0.95
+    every = cells.search_cells(built, asked, 10, probed=1.0, block=40)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    assert cells.search_cells(built, asked.limit(0)).count() == 0
+    tiny = cells.build_cells(index.limit(0))
+    assert tiny.rows.count() == 0 and cells.search_cells(tiny, asked).count() == 0
+
+
 def test_index_maintenance(spark):
     index = spark.createDataFrame([("doc_0", "a"), ("doc_4", "b"), ("other", "c")], "id string, document string")
     more = dense.add_documents(index, spark.createDataFrame([(2, "y"), (1, "x")], "k int, document string"), "k")
@@ -80,6 +102,17 @@ def test_bm25(spark):
         assert [got[q, k + 1] for k in range(4)] == [(d, pytest.approx(s, abs=1e-6)) for d, s in want]
 
 
+def test_bm25_of_a_saved_index_and_many_queries(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc long, text string")
+    asked = spark.createDataFrame(list(enumerate(["a", "b b c", "x b"])), "qid int, text string")
+    index = lexical.build_index(docs, tokens)
+    index.save(str(tmp_path / "ix"))
+    want = {tuple(r) for r in lexical.scores(index, asked, tokens).collect()}
+    again = lexical.LexicalIndex.load(spark, str(tmp_path / "ix"))
+    assert {tuple(r) for r in lexical.scores(again, asked, tokens, most_asked=0).collect()} == want and len(want) > 5
+    assert again.docs.count() == 6
+
+
 def test_bm25_empty(spark):
     docs = spark.createDataFrame([], "doc long, text string")
     asked = spark.createDataFrame([(1, "a")], "qid int, text string")
