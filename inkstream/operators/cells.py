@@ -21,16 +21,17 @@ from inkstream.session import stored
 
 #: Vectors that the centres are fitted on, the first by hash of their id, and the most centres.
 SAMPLE, MOST_CELLS = 50_000, 1024
-#: The share of the cells that a query looks into.
-PROBED = 0.25
+#: Vectors of the sample that tell how many cells a query must look into, as many of them as queries, and the share of the nearest that it must find there.
+TRIED, TRIED_QUERIES, FOUND = 4000, 400, 0.98
 
 
 @dataclass(frozen=True)
 class CellIndex:
-    """``rows (cell, id, embedding)`` and the centres, unit vectors."""
+    """``rows (cell, id, embedding)``, the centres, unit vectors, and how many cells a query looks into."""
 
     rows: DataFrame
     centers: np.ndarray
+    probes: int
 
 
 def units(rows: np.ndarray) -> np.ndarray:
@@ -38,6 +39,17 @@ def units(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, n, out=np.zeros_like(rows), where=n > 0)
 
 
+def probes_for(sample: np.ndarray, centers: np.ndarray, k: int = 10) -> int:
+    """Cells of which a query needs the nearest so many, to meet ``FOUND`` of its ``k`` nearest vectors of the sample."""
+    asked = sample[:TRIED_QUERIES]
+    like = asked @ sample.T
+    like[np.arange(len(asked)), np.arange(len(asked))] = -2
+    near = np.argsort(-like, axis=1, kind="stable")[:, :k]
+    place = np.argsort(np.argsort(-(asked @ centers.T), axis=1, kind="stable"), axis=1)
+    needed = np.take_along_axis(place, (sample @ centers.T).argmax(1)[near], axis=1)
+    return int(np.quantile(needed, FOUND, method="higher")) + 1
+
+
 def build_cells(index: DataFrame, cells: int | None = None, sample: int = SAMPLE, seed: int = 7) -> CellIndex:
     """The index of ``index (id, embedding)`` by cosine, with about the square root of the sample as number of cells. A null id or vector is no row; zero vectors are in the first cell."""
     known = index.select("id", "embedding").where("id is not null and embedding is not null")
@@ -46,6 +58,7 @@ def build_cells(index: DataFrame, cells: int | None = None, sample: int = SAMPLE
     n = some.count()
     k = max(1, min(MOST_CELLS, cells or round(n**0.5)))
     centers = units(np.array(KMeans(k=k, seed=seed, maxIter=10).fit(some).clusterCenters())) if n > k else np.zeros((1, 1))
+    probes = probes_for(np.array([r[0].toArray() for r in some.limit(TRIED).collect()]), centers) if n > k else 1
     itype, etype = (index.schema[c].dataType.simpleString() for c in ("id", "embedding"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,14 +68,14 @@ def build_cells(index: DataFrame, cells: int | None = None, sample: int = SAMPLE
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column(0), batch.column(1)], names=["cell", "id", "embedding"])
 
     placed = known.mapInArrow(run, f"cell int, id {itype}, embedding {etype}")
-    return CellIndex(stored(placed, "cell"), centers)
+    return CellIndex(stored(placed, "cell"), centers, probes)
 
 
-def search_cells(index: CellIndex, queries: DataFrame, k: int = 10, probed: float = PROBED, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """``(qid, id, distance, rank)``: the ``k`` nearest rows by cosine in the cells nearest to each of ``queries (qid, embedding)``. With ``probed`` 1 it's exact."""
+def search_cells(index: CellIndex, queries: DataFrame, k: int = 10, probes: int | None = None, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """``(qid, id, distance, rank)``: the ``k`` nearest rows by cosine in the cells nearest to each of ``queries (qid, embedding)``. With ``probes`` as many as there are cells it's exact."""
     qtype, itype = queries.schema["qid"].dataType.simpleString(), index.rows.schema["id"].dataType.simpleString()
     cells = len(index.centers)
-    probes = min(cells, max(1, int(np.ceil(cells * probed))))
+    probes = min(cells, probes or index.probes)
 
     def of_block(asked: list) -> DataFrame:
         ids, vectors = [r["qid"] for r in asked], np.array([r["embedding"] for r in asked], np.float64)
