@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstream.llm.codepoints import CharMap, composer, decode, encode
-from inkstream.llm.pairs import block_of, blocks, join_hot
+from inkstream.llm.pairs import block_of, blocks
+from inkstream.operators.skew import join_hot
+from inkstream.session import cut
 
 # Letters of other alphabets and numerals, each followed by the letter or ideograph of the same shape.
 SAME_LETTERS = (
@@ -99,7 +101,8 @@ def looks(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     def mark(c: str, name: str) -> list:
         return [F.xxhash64(c).alias(name), F.hash(F.length(c), c).alias(f"{name}2")]
 
-    return formed.select("id", "field", *mark("look", "look"), *mark("value", "raw")).distinct()
+    # written once: the texts are read and brought to one form a single time, whatever asks for the hashes
+    return cut(formed.select("id", "field", *mark("look", "look"), *mark("value", "raw")).distinct())
 
 
 def spellings(hashed: DataFrame) -> tuple[DataFrame, DataFrame]:

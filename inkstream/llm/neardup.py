@@ -10,7 +10,7 @@ is 29 buckets of 3 values and radius 44: 1 of 1,100 pairs is missed at 0.6, 1 of
 
 Result cases
     null, empty, short texts   in no group: their class is their own id, without links
-    exact copies               one text to the search, so a hot group of copies costs nothing; all get its class
+    exact copies               one text to the search, told apart by 128 bits, so a hot group of copies costs nothing; all get its class
     hot bucket of unlike texts streamed past memory and compared in blocks of ``BLOCK`` by many tasks
     repeated id, same text     one row
     null id                    left out
@@ -58,23 +58,23 @@ class Bands:
     radius: int
 
     @classmethod
-    def of(cls, share: float) -> Bands:
+    def of(cls, share: float, missed: float = MISSED) -> Bands:
         """The most values a bucket, so the fewest chance meetings, that the signature's values suffice for."""
         if not 0 < share <= 1:
             raise ValueError(f"share is {share}, not above 0 and at most 1")
         for rows in range(8, 0, -1):
             met = share**rows
-            count = 1 if met == 1 else math.ceil(math.log(0.9 * MISSED) / math.log1p(-met))
+            count = 1 if met == 1 else math.ceil(math.log(0.9 * missed) / math.log1p(-met))
             if count * rows <= SIGNATURE:
-                return cls(count, rows, cls._radius(share))
+                return cls(count, rows, cls._radius(share, missed))
         raise ValueError(f"share is {share}: {SIGNATURE} minhash values can't find pairs of so little in common")
 
     @staticmethod
-    def _radius(share: float) -> int:
+    def _radius(share: float, missed: float) -> int:
         differ, total = (1 - share) / 2, 0.0
         for d in range(SIGNATURE + 1):
             total += math.comb(SIGNATURE, d) * differ**d * (1 - differ) ** (SIGNATURE - d)
-            if total >= 1 - 0.1 * MISSED:
+            if total >= 1 - 0.1 * missed:
                 return d
         return SIGNATURE
 
@@ -98,7 +98,8 @@ def minhashes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def text_hash(column: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(s) for s in column.cast(pa.binary()).to_pylist()), np.uint64, len(column)).view(np.int64)
+    """``(rows, 2)``: 128 bits of each text."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in column.cast(pa.binary()).to_pylist()), np.int64).reshape(-1, 2)
 
 
 def _folded(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +111,7 @@ def _folded(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def sign(texts: DataFrame, n: int, least: int, bands: Bands) -> DataFrame:
-    """``(id, rid, s0, s1, bands)`` of each text that is long enough; ``rid`` is the folded text's hash."""
+    """``(id, rid, h1, h2, s0, s1, bands)`` of each text that is long enough; ``h1`` and ``h2`` are the folded text's hash, ``rid`` is ``h1``."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +127,18 @@ def sign(texts: DataFrame, n: int, least: int, bands: Bands) -> DataFrame:
                 key ^= key >> np.uint64(29)
             keys = (key >> np.uint64(32)).astype(np.uint32)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bands.count * 4), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long)), pa.array(text_hash(encode(points, offsets))), pa.array(bits[:, 0]), pa.array(bits[:, 1]), packed], names=["id", "rid", "s0", "s1", "bands"])
+            h1, h2 = (pa.array(h) for h in text_hash(encode(points, offsets)).T)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long)), h1, h1, h2, pa.array(bits[:, 0]), pa.array(bits[:, 1]), packed], names=["id", "rid", "h1", "h2", "s0", "s1", "bands"])
 
-    return texts.mapInArrow(run, f"id {kind}, rid bigint, s0 bigint, s1 bigint, bands binary")
+    return texts.mapInArrow(run, f"id {kind}, rid bigint, h1 bigint, h2 bigint, s0 bigint, s1 bigint, bands binary")
+
+
+def separate(signed: DataFrame) -> DataFrame:
+    """``signed`` with another ``rid`` for texts that only have the first 64 bits of their hash in common with another; hardly ever there are any."""
+    shared = signed.groupBy("rid").agg(F.min("h2").alias("least"), F.max("h2").alias("most")).where("least <> most").select("rid", "least")
+    if shared.isEmpty():
+        return signed
+    return cut(signed.join(shared, "rid", "left").withColumn("rid", F.when(F.col("h2") > F.col("least"), F.xxhash64("h1", "h2")).otherwise(F.col("rid"))).select(signed.columns))
 
 
 def spread(signed: DataFrame, bands: Bands) -> DataFrame:
@@ -258,32 +268,43 @@ def candidates(signed: DataFrame, bands: Bands) -> DataFrame:
 
 
 def fold_rows(texts: DataFrame, least: int) -> DataFrame:
-    """``(rid, folded)`` of rows ``(rid, text)`` whose text has that hash."""
+    """``(rid, folded)`` of rows ``(rid, text, h1, h2)`` whose text has that hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             long, points, offsets = _folded(batch, least)
             folded = encode(points, offsets)
-            rid = text_hash(folded)
-            ok = np.flatnonzero(rid == batch.column(0).to_numpy()[long])
-            yield pa.RecordBatch.from_arrays([pa.array(rid[ok]), folded.take(pa.array(ok))], names=["rid", "folded"])
+            h1, h2 = text_hash(folded).T
+            ok = np.flatnonzero((h1 == batch.column(2).to_numpy()[long]) & (h2 == batch.column(3).to_numpy()[long]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long[ok])), folded.take(pa.array(ok))], names=["rid", "folded"])
+
+    return texts.select("rid", "text", "h1", "h2").mapInArrow(run, "rid bigint, folded string")
+
 
-    return texts.select("rid", "text").mapInArrow(run, "rid bigint, folded string")
+def distinct_of_rows(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct values, and the rows they are in."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((values, row))
+    values, row = values[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+    return values[new], row[new]
 
 
 def similar(pairs: DataFrame, n: int, share: float) -> DataFrame:
-    """The rows ``(a, b)`` of ``(a, b, folded_a, folded_b)`` that are similar enough, by their exact sets."""
+    """The rows ``(a, b)`` of ``(a, b, folded_a, folded_b)`` that are similar enough, by their exact sets, some hundred pairs at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            left, right = (grams(*decode(batch.column(c)), n) for c in (2, 3))
-            for i in range(batch.num_rows):
-                x, y = (np.unique(v[at[i] : at[i + 1]]) for v, at in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= share * (len(x) + len(y) - both) - 1e-9:
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                (x, i), (y, j) = (distinct_of_rows(*grams(*decode(part.column(c)), n)) for c in (2, 3))
+                values, row = np.concatenate([x, y]), np.concatenate([i, j])
+                order = np.lexsort((values, row))
+                values, row = values[order], row[order]
+                twice = (values[1:] == values[:-1]) & (row[1:] == row[:-1])
+                total, both = np.bincount(row, minlength=part.num_rows), np.bincount(row[1:][twice], minlength=part.num_rows)
+                yield part.select(["a", "b"]).take(pa.array(np.flatnonzero(both >= share * (total - both) - 1e-9)))
 
     return pairs.select("a", "b", "folded_a", "folded_b").mapInArrow(run, "a bigint, b bigint")
 
@@ -304,15 +325,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(rows: DataFrame, id_col: str, text_col: str, n: int = 4, share: float = 0.6, least: int = 30) -> DataFrame:
+def near_duplicates(rows: DataFrame, id_col: str, text_col: str, n: int = 4, share: float = 0.6, least: int = 30, missed: float = MISSED) -> DataFrame:
     """``(id, class_id, n_links)``, one row per id and text: the class is named by its least id, ``n_links`` counts the different texts linked to the row's text."""
     texts = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), without_markup(F.col(text_col)).alias("text"))
-    bands = Bands.of(share)
-    signed = cut(sign(texts.where("text <> ''"), n, least, bands))
+    bands = Bands.of(share, missed)
+    signed = separate(cut(sign(texts.where("text <> ''"), n, least, bands)))
     pairs = cut(candidates(signed, bands))
-    of_text = signed.select("id", "rid").distinct()
+    of_text, hashes = signed.select("id", "rid").distinct(), signed.select("rid", "h1", "h2").distinct()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    named = of_text.join(asked, "rid", "left_semi").groupBy("rid").agg(F.min("id").alias("id"))
+    named = of_text.join(asked, "rid", "left_semi").groupBy("rid").agg(F.min("id").alias("id")).join(hashes, "rid")
     folded = cut(fold_rows(texts.join(named, "id"), least).dropDuplicates(["rid"]))
     a, b = (folded.select(F.col("rid").alias(c), F.col("folded").alias(f"folded_{c}")) for c in "ab")
     links = cut(similar(pairs.join(a, "a").join(b, "b"), n, share))

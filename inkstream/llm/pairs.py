@@ -1,25 +1,16 @@
-"""Joins and pairs within groups of which some may be hot."""
+"""Pairs within groups of which some may be hot."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The most frequent keys that are broadcast: a key beyond them has less than one part in so many of all rows.
-MOST_HOT = 10_000
-#: Keys of fewer rows are never hot.
-LEAST_HOT = 1000
+from inkstream.operators.skew import join_hot
+
 #: Members of a group that meet in one cell.
 CELL = 1024
 
 
-def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], n: str) -> DataFrame:
-    """Inner join of ``rows`` with one row per key. The most frequent keys by column ``n``, at most ``MOST_HOT``, are broadcast, so their rows stay where they are."""
-    hot = keys.where(F.col(n) > LEAST_HOT).orderBy(F.desc(n), *on).limit(MOST_HOT)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys, on)
-    return rows.join(F.broadcast(hot), on).unionByName(rest)
-
-
 def blocks(n: Column) -> Column:
     """Into how many blocks of about ``CELL`` a group of ``n`` is split."""
     return F.ceil(n / F.lit(CELL)).cast("int")

@@ -4,6 +4,7 @@ import pytest
 
 from inkstream.llm import pairs
 from inkstream.llm.lookalikes import one_form, same_look_classes, same_look_pairs
+from inkstream.operators import skew
 
 ROWS = "id long, title string, text string, look string"
 SAME = [("A-1", "Ａ‑１"), ("é", "é"), ("a b", "a　b"), ("II世", "Ⅱ世"), ("Corsa", "Соrѕа"), ("人", "⼈"), ("冷", "冷"), ("a·b", "a・b"), ("ab", "a​﻿b️"), ("가", "가")]
@@ -40,7 +41,7 @@ def test_same_shape_in_other_blocks(pair):
 
 def test_hot_look_is_split_into_cells(spark, monkeypatch):
     monkeypatch.setattr(pairs, "CELL", 8)
-    monkeypatch.setattr(pairs, "LEAST_HOT", 5)
+    monkeypatch.setattr(skew, "LEAST_HOT", 5)
     rows = [(i, "Ａ" if i % 40 == 0 else "А" if i % 50 == 0 else "A", f"{i}", "x") for i in range(1, 301)] + [(1000, "B", "t", "x"), (1001, "B", "t", "x")]
     df = spark.createDataFrame(rows, ROWS)
     want = {(a, b, "title") for (a, x, *_), (b, y, *_) in itertools.combinations(rows, 2) if x != y and x in "ＡАA" and y in "ＡАA"}

@@ -133,9 +133,30 @@ def test_share_without_a_plan():
 
 def test_pairs_of_a_hot_class(spark, monkeypatch):
     from inkstream.llm import pairs
+    from inkstream.operators import skew
 
     monkeypatch.setattr(pairs, "CELL", 4)
-    monkeypatch.setattr(pairs, "LEAST_HOT", 5)
+    monkeypatch.setattr(skew, "LEAST_HOT", 5)
     rows = [(f"{i:04d}", "0000") for i in range(60)] + [("0100", "0100"), ("0101", "0101"), ("0102", "0101"), (None, None)]
     got = pairs_of(spark.createDataFrame(rows, "id string, class_id string")).collect()
     assert sorted(map(tuple, got)) == [*itertools.combinations([f"{i:04d}" for i in range(60)], 2), ("0101", "0102")]
+
+
+def test_texts_of_one_64_bit_hash_stay_apart(spark):
+    rows = [("a", 7, 1), ("b", 7, 2), ("c", 7, 2), ("d", 8, 5)]
+    signed = spark.createDataFrame([(i, h1, h1, h2, 0, 0, b"") for i, h1, h2 in rows], "id string, rid long, h1 long, h2 long, s0 long, s1 long, bands binary")
+    got = {r["id"]: r["rid"] for r in neardup.separate(signed).collect()}
+    assert got["a"] == 7 and got["d"] == 8 and got["b"] == got["c"] not in (7, 8)
+    assert neardup.separate(signed.where("id <> 'a'")).where("rid <> h1").count() == 0
+
+
+def test_similar_equals_sets(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(700):
+        base = "".join(rng.choice("abcd") for _ in range(rng.randint(4, 60)))
+        rows.append((i, i + 1, base, "".join(c if rng.random() < 0.93 else "z" for c in base)))
+    sets = lambda t: {t[k : k + 4] for k in range(len(t) - 3)}
+    want = {r[0] for r in rows if len(sets(r[2]) & sets(r[3])) >= 0.6 * len(sets(r[2]) | sets(r[3]))}
+    got = neardup.similar(spark.createDataFrame(rows, "a long, b long, folded_a string, folded_b string"), 4, 0.6)
+    assert {r["a"] for r in got.collect()} == want and 50 < len(want) < 650
