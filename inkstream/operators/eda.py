@@ -53,7 +53,10 @@ def click_behavior(rows: DataFrame, column: str = "ClickPos") -> DataFrame:
 
 
 def at_indexes(lengths: DataFrame, column: str, indexes: dict[str, tuple[int, int]]) -> DataFrame:
-    """One row with the elements ``n * a // b`` of the sorted values, from the values' counts: lengths take few different values."""
+    """One row with the elements ``n * a // b`` of the sorted values, from the values' counts.
+
+    The counts are sorted in one task, so ``column`` must take few different values, as lengths do (at most as many as the longest text has characters).
+    """
     counts = lengths.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
     total = counts.agg(F.sum("c").alias("total"))
     running = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v"))).join(F.broadcast(total))

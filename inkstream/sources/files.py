@@ -98,10 +98,11 @@ def count_data_lines(spark: SparkSession, path: str) -> int:
 
 
 def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``(pos, title, ns, text)`` of a MediaWiki export, in file order."""
+    """``(pos, title, ns, text)`` of a MediaWiki export; ``pos`` sorts pages by file, by part of the file and within it, however the parts were dealt out."""
     schema = "title string, ns string, revision struct<text: struct<_VALUE: string>>"
     pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
-    return pages.select(F.monotonically_increasing_id().alias("pos"), "title", "ns", F.col("revision.text._VALUE").alias("text"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    return pages.select(place.alias("pos"), "title", "ns", F.col("revision.text._VALUE").alias("text"))
 
 
 def write_csv(rows: DataFrame, path: str) -> bool:

@@ -28,6 +28,14 @@ def test_wiki_pages(spark, tmp_path):
     assert documents.wiki_articles(pages, 1).count() == 1
 
 
+def test_wiki_pages_of_several_files_are_in_file_order(spark, tmp_path):
+    page = "<page><title>{}</title><ns>0</ns><revision><text>{}</text></revision></page>"
+    for f, sizes in (("a", (300, 400)), ("b", (90_000,)), ("c", (500, 600))):
+        (tmp_path / f"{f}.xml").write_text("<mediawiki>" + "".join(page.format(f"{f}{i}", "字" * n) for i, n in enumerate(sizes)) + "</mediawiki>", "utf-8")
+    got = documents.wiki_articles(files.read_wiki_pages(spark, str(tmp_path))).orderBy("id").collect()
+    assert [r["title"] for r in got] == ["a0", "a1", "b0", "c0", "c1"]
+
+
 def test_tsv(spark, tmp_path):
     (tmp_path / "q.tsv").write_text('qid\ttext\n1\ta "q\tb\n\n  \nbad\n2\t x \n', "utf-8")
     assert [tuple(r) for r in files.read_tsv(spark, str(tmp_path / "q.tsv"), ("qid", "text")).collect()] == [("1", 'a "q\tb'), ("2", " x")]
