@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ class LexicalIndex:
     corpus: DataFrame
     terms: DataFrame
 
+    @cached_property
+    def average(self) -> float:
+        return self.corpus.first()["avgdl"] or 1.0
+
     def save(self, path: str) -> None:
         for name in ("postings", "docs", "corpus", "terms"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -70,9 +75,8 @@ def scores(index: LexicalIndex, queries: DataFrame, tokenize: Callable[[Column],
     else:
         salted = asked.join(index.terms, "term").select("qid", "term", weight).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = index.postings.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"])
-    average = index.corpus.first()["avgdl"] or 1.0
     tf = F.col("tf")
-    part = met.select("qid", "doc", (F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(average)))).alias("w"))
+    part = met.select("qid", "doc", (F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.average)))).alias("w"))
     return part.groupBy("qid", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
