@@ -124,7 +124,8 @@ def features(s: Segments) -> tuple[np.ndarray, np.ndarray]:
         else:
             moved = s.tokens
         near[k] = moved
-    local = np.empty((n, len(WINDOWS)), np.int32)
+    # a window's features lie together, since they are looked up window by window
+    local = np.empty((n, len(WINDOWS)), np.int32, order="F")
     for i, (a, b) in enumerate(WINDOWS):
         local[:, i] = _hash([near[k] for k in range(a, b + 1)], i + 1)
     return local, _hash([near[-1], near[0]], 99)
@@ -220,24 +221,36 @@ class Model:
         return before, after
 
 
+def occurring(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features that occur in ``f``, and ``f`` by their places among these."""
+    used = np.flatnonzero(np.bincount(f.ravel("K"), minlength=1 << BITS))
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    return used, place[f]
+
+
 def train(s: Segments, y: np.ndarray, weight: np.ndarray, rounds: int, model: Model | None = None, rate: float = 0.3, decay: float = 1e-6) -> Model:
-    """Weighted maximum likelihood by full-batch adaptive gradient steps on the characters' states ``y``; ``weight`` by segment."""
-    size = 1 << BITS
-    m = model or Model(np.zeros(size), np.zeros(size), -1.0, np.array([-2.0, -2.0, 1.0]))
+    """Weighted maximum likelihood by full-batch adaptive gradient steps on the characters' states ``y``; ``weight`` by segment.
+
+    Features that don't occur in ``s`` keep their weights.
+    """
+    begin = model or Model(np.zeros(1 << BITS), np.zeros(1 << BITS), -1.0, np.array([-2.0, -2.0, 1.0]))
     heavy = np.repeat(weight, s.size)
-    local, whole = features(s)
+    (met, local), (met_whole, whole) = (occurring(f) for f in features(s))
+    m = Model(begin.weights[met].astype(np.float64), begin.overall[met_whole].astype(np.float64), begin.bias, begin.moves, begin.threshold)
     low, high = near(s)
-    flat, scale = local.ravel(), 1 / np.sqrt(high - low)
+    scale = 1 / np.sqrt(high - low)
     first = np.zeros(len(y), bool)
     first[s.start] = True
     inner = np.flatnonzero(~first)
-    squares = [np.full(size, 1e-3), np.full(size, 1e-3), 1e-3, np.full(3, 1e-3)]
+    squares = [np.full(len(met), 1e-3), np.full(len(met_whole), 1e-3), 1e-3, np.full(3, 1e-3)]
     total = max(1.0, float((y * heavy).sum()))
     for _ in range(rounds):
         e = m.scores(s, local, whole)
         p, r, q = m.marginals(s, e)
         g = (p - y) * heavy / total
-        grads = [np.bincount(flat, np.repeat(g, local.shape[1]), size) + decay * m.weights, np.bincount(whole, sums(g * scale, low, high), size) + decay * m.overall, g.sum()]
+        own = sum(np.bincount(local[:, j], g, len(met)) for j in range(local.shape[1]))
+        grads = [own + decay * m.weights, np.bincount(whole, sums(g * scale, low, high), len(met_whole)) + decay * m.overall, g.sum()]
         into, out, stay = np.exp(m.moves)
         nxt = np.exp(e[inner]) * q[inner]
         w = np.stack([np.ones(len(inner)), into * nxt, r[inner - 1] * out, r[inner - 1] * stay * nxt])
@@ -250,7 +263,9 @@ def train(s: Segments, y: np.ndarray, weight: np.ndarray, rounds: int, model: Mo
             squares[k] = squares[k] + grads[k] ** 2
             params[k] = params[k] - rate * grads[k] / np.sqrt(squares[k])
         m = Model(params[0], params[1], float(params[2]), params[3], m.threshold)
-    return m
+    weights, overall = begin.weights.astype(np.float64), begin.overall.astype(np.float64)
+    weights[met], overall[met_whole] = m.weights, m.overall
+    return Model(weights, overall, m.bias, m.moves, m.threshold)
 
 
 def segment_scores(s: Segments, p: np.ndarray, run: int = 4) -> np.ndarray:

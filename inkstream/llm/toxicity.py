@@ -22,7 +22,7 @@ Result cases
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ PLAIN_CLEAN, PLAIN_OFFENDING = 12_000, 8000
 SHARE, MOST_SHARES = 1200, 8
 TURNS, ROUNDS = 5, 30
 THRESHOLD = 0.4
+#: Weights of both kinds, of the moves and the bias; their sums are kept in units of 1 / UNIT.
+SUMS, UNIT = (2 << BITS) + 4, 1 << 24
 
 
 def sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
@@ -95,15 +97,31 @@ def turn(s: Segments, y: np.ndarray, counts: np.ndarray, share: float, models: l
     return model, np.stack([np.bincount(f.ravel(), minlength=1 << BITS), np.bincount(w, minlength=1 << BITS)])
 
 
-def mixed(models: list[Model], met: list[np.ndarray]) -> Model:
-    """The mean field; a feature's weight is that of the tasks that met it, as often as they did."""
-    n = np.stack(met).astype(np.float64) + 1e-9
-    weights, overall = ((n[:, k] * np.stack([getattr(m, name) for m in models])).sum(0) / n[:, k].sum(0) for k, name in ((0, "weights"), (1, "overall")))
-    return Model(weights, overall, float(np.mean([m.bias for m in models])), np.mean([m.moves for m in models], axis=0))
+def told(model: Model, met: np.ndarray) -> pa.RecordBatch:
+    """``(slot, n, total)`` of a task's field: of each weight that it trained how often its feature was met, and the weight as often. Whole numbers, so their sums are the same in any order."""
+    n = np.append(met.ravel(), np.ones(4, np.int64))
+    slot = np.flatnonzero(n)
+    values = np.concatenate([model.weights, model.overall, model.moves, [model.bias]])[slot]
+    return sums_of(slot, n[slot], np.rint(values * n[slot] * UNIT))
+
+
+def sums_of(slot: np.ndarray, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(total.astype(np.int64))], names=["slot", "n", "total"])
+
+
+def mixed(n: np.ndarray, total: np.ndarray, before: Model | None) -> Model:
+    """The mean field; a feature's weight is that of the tasks that met it, as often as they did, and stays as it was if none did."""
+    size = 1 << BITS
+    old = np.zeros(SUMS) if before is None else np.concatenate([before.weights, before.overall, before.moves, [before.bias]])
+    new = np.where(n > 0, total / np.maximum(n, 1) / UNIT, old)
+    return Model(new[:size].astype(np.float32), new[size : 2 * size].astype(np.float32), float(new[-1]), new[2 * size : -1])
 
 
 def fitted(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
-    """The field of the labels, for ``scored``; None if there is nothing to learn from. Weights come to the driver, texts don't."""
+    """The field of the labels, for ``scored``; None if there is nothing to learn from.
+
+    Spark adds up what the tasks learn. One field comes to the driver in a turn, whatever the number of tasks, and no text.
+    """
     rows = cut(sample(documents, labels, doc_id, text, label))
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
@@ -112,8 +130,8 @@ def fitted(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     shares = min(MOST_SHARES, max(1, total // SHARE))
     dealt = cut(rows.repartition(shares, "doc_id"))
 
-    def of_tasks(work, n: int) -> list[list[np.ndarray]]:
-        """``work(segments, y)``, a list of ``n`` arrays or None, of each task's documents."""
+    def of_tasks(work: Callable[[Segments, np.ndarray], pa.RecordBatch | None]) -> np.ndarray:
+        """``n`` and ``total`` of every slot, summed over the rows ``work(segments, y)`` of each task's documents."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(3)))), key=lambda r: str(r[0]))
@@ -121,27 +139,30 @@ def fitted(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
             s = segments(pa.array([r[1] for r in held], pa.string()))
             out = work(s, y) if len(s.size) else None
             if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in out], names=[f"a{i}" for i in range(n)])
+                yield out
+
+        sums = dealt.mapInArrow(run, "slot int, n bigint, total bigint").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toArrow()
+        out = np.zeros((2, SUMS), np.int64)
+        out[:, sums.column("slot").to_numpy()] = [sums.column(c).to_numpy() for c in ("n", "total")]
+        return out
 
-        return [list(r) for r in dealt.mapInArrow(run, ", ".join(f"a{i} binary" for i in range(n))).collect()]
+    def in_documents(s: Segments, y: np.ndarray) -> pa.RecordBatch:
+        n = gram_counts(s, features(s)[0], y).ravel()
+        slot = np.flatnonzero(n)
+        return sums_of(slot, n[slot], 0 * slot)
 
-    counts = sum((np.frombuffer(c, np.int32).reshape(2, -1) for (c,) in of_tasks(lambda s, y: [gram_counts(s, features(s)[0], y)], 1)), np.zeros((2, 1 << BITS), np.int32))
+    counts = of_tasks(in_documents)[0, : 2 << BITS].reshape(2, -1).astype(np.int32)
     models: list[Model] = []
     for _ in range(TURNS):
 
-        def one(s: Segments, y: np.ndarray, models: list[Model] = models) -> list[np.ndarray] | None:
+        def one(s: Segments, y: np.ndarray, models: list[Model] = models) -> pa.RecordBatch | None:
             out = turn(s, y, counts, share, models, shares)
-            return out and [np.stack([out[0].weights, out[0].overall]).astype(np.float32), np.append(out[0].moves, out[0].bias), out[1].astype(np.int32)]
+            return None if out is None else told(*out)
 
-        got = of_tasks(one, 3)
-        if not got:
+        n, learned = of_tasks(one)
+        if not n[-1]:
             return None
-        parts = []
-        for weights, rest, _met in got:
-            w, m = np.frombuffer(weights, np.float32).reshape(2, -1), np.frombuffer(rest, np.float64)
-            parts.append(Model(w[0], w[1], float(m[3]), m[:3].copy()))
-        models.append(mixed(parts, [np.frombuffer(met, np.int32).reshape(2, -1) for *_, met in got]))
-        models[-1].weights, models[-1].overall = models[-1].weights.astype(np.float32), models[-1].overall.astype(np.float32)
+        models.append(mixed(n, learned, models[-1] if models else None))
     return models[-1]
 
 
