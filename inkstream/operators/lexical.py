@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstream.functions.text import tokens
-from inkstream.session import cut, stored
+from inkstream.session import bucketed, cut, stored
 
 # The ranking function's usual constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -46,12 +46,16 @@ class LexicalIndex:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "corpus", "terms")))
 
 
-def build_index(docs: DataFrame, tokenize: Callable[[Column], Column] = tokens, doc: str = "doc", text: str = "text") -> LexicalIndex:
-    """The index of ``docs``, a row per document; every text is split once. A term in more than half of the documents gets ``EPSILON`` of the mean idf."""
-    split = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text)).alias("terms")).repartition("doc")
+def build_index(docs: DataFrame, tokenize: Callable[[Column], Column] = tokens, doc: str = "doc", text: str = "text", buckets: int | None = None) -> LexicalIndex:
+    """The index of ``docs``, a row per document; every text is split once. A term in more than half of the documents gets ``EPSILON`` of the mean idf.
+
+    Documents are dealt out to ``buckets``, one task each in a search; by default as many as the session has shuffle partitions.
+    """
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text)).alias("terms")).repartition(buckets, "doc")
     each = split.select("doc", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
     # terms were split where their document is: counting them moves nothing; a document without terms has one row without a term
-    counted = stored(each.groupBy("doc", "dl", "term").agg(F.count("*").cast("int").alias("tf")).sortWithinPartitions("term", "doc"))
+    counted = bucketed(each.groupBy("doc", "dl", "term").agg(F.count("*").cast("int").alias("tf")), "doc", buckets, "term")
     lengths = stored(counted.select("doc", "dl").distinct())
     corpus = stored(lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
     postings = counted.where("term is not null")
@@ -85,8 +89,10 @@ def top_k(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10) -
 
     Every query gets the first ``k`` documents of ``docs (doc)`` as possible zeros, not all documents.
     """
-    best = scored.select("qid", "doc", "score").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k).drop("rank")
     first = docs.select("doc").orderBy("doc").limit(k)
-    scored_first = scored.join(F.broadcast(first), "doc", "left_semi").select("qid", "doc")
-    zeros = queries.select("qid").distinct().join(F.broadcast(first.agg(F.collect_list("doc").alias("docs")))).select("qid", F.explode("docs").alias("doc")).join(scored_first, ["qid", "doc"], "left_anti").withColumn("score", F.lit(0.0))
-    return best.unionByName(zeros).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
+    # the first documents are ranked by themselves: all that score stay, and everything is scored once
+    apart = scored.select("qid", "doc", "score").join(F.broadcast(first.withColumn("early", F.lit(True))), "doc", "left").withColumn("early", F.col("early").isNotNull())
+    best = apart.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "early").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k).select("qid", "doc", "score", F.lit(1).alias("met"))
+    zeros = queries.select("qid").distinct().join(F.broadcast(first.agg(F.collect_list("doc").alias("docs")))).select("qid", F.explode("docs").alias("doc"), F.lit(0.0).alias("score"), F.lit(0).alias("met"))
+    both = best.unionByName(zeros).groupBy("qid", "doc").agg(F.max_by("score", "met").alias("score"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)

@@ -38,6 +38,15 @@ def stored(rows: DataFrame, *by: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def bucketed(rows: DataFrame, key: str, buckets: int, *order: str) -> DataFrame:
+    """Like ``stored``, in one file for each bucket of ``key``, so that grouping by it and by anything more moves no row. It needs a name in the session's catalog."""
+    use_checkpoints(rows.sparkSession)
+    name = f"stored_{uuid.uuid4().hex}"
+    path = f"{rows.sparkSession.sparkContext.getCheckpointDir()}/{name}"
+    rows.write.bucketBy(buckets, key).sortBy(*order).option("path", path).saveAsTable(name, format="parquet")
+    return rows.sparkSession.table(name)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` over all cores if they come from fewer partitions, as those of a small file do: for steps that cost more than moving the rows."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
