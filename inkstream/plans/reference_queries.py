@@ -234,7 +234,16 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_rows(table(spark, sf_dir, "documents"), "doc_id", chunks.recursive_chunks(F.col("text")))
 
 
-@query()
+# a sentence ends with its mark; parts of it go into the chunk before while there is room
+_SENTENCES = """RECURSIVE sentences AS (SELECT doc_id, regexp_extract_all(text, '[^。！？]*[。！？]|[^。！？]+') AS s FROM documents WHERE length(text) > 0),
+cut AS (SELECT doc_id, flatten(list_transform(s, lambda x: list_transform(range(0, length(x), 500), lambda i: substring(x, i + 1, 500)))) AS parts FROM sentences),
+parts AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS p FROM cut),
+packed AS (SELECT doc_id, i, 1 AS g, 500 - length(p) AS room FROM parts WHERE i = 1 UNION ALL
+    SELECT a.doc_id, b.i, CASE WHEN length(b.p) <= a.room THEN a.g ELSE a.g + 1 END, CASE WHEN length(b.p) <= a.room THEN a.room ELSE 500 END - length(b.p) FROM packed a JOIN parts b ON b.doc_id = a.doc_id AND b.i = a.i + 1)"""
+
+
+@query(f"""WITH {_SENTENCES}, chunks AS (SELECT doc_id, g, {sql_strip("string_agg(p, '' ORDER BY i)")} AS chunk FROM packed JOIN parts USING (doc_id, i) GROUP BY doc_id, g)
+SELECT doc_id::VARCHAR AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INT AS chunk_index, chunk, length(chunk)::INT AS chunk_size, (count(*) OVER (PARTITION BY doc_id))::INT AS total_chunks FROM chunks WHERE chunk <> ''""")
 def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_rows(table(spark, sf_dir, "documents"), "doc_id", chunks.sentence_chunks(F.col("text")))
 
@@ -298,7 +307,16 @@ def article_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.article_stats(table(spark, sf_dir, "wikipedia_articles"))
 
 
-@query()
+_REPORT = {
+    "basic_stats": "SELECT count(*) AS total_records, 1 AS n_columns, count(*) - count(text) AS nulls_content, count(*) - (SELECT count(*) FROM (SELECT DISTINCT text FROM documents)) AS duplicate_count FROM documents",
+    "document_length": ORACLE["doc_length_stats"],
+    "query_distribution": ORACLE["query_distribution"],
+    "user_behavior": ORACLE["user_behavior"],
+    "click_behavior": ORACLE["click_behavior"],
+}
+
+
+@query("SELECT json_object(" + ", ".join(f"'{name}', (SELECT to_json(x) FROM ({sql}) x)" for name, sql in _REPORT.items()) + ")::VARCHAR AS report")
 def analysis_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "click_log").select(F.col("query_text").alias("Query"), F.col("anonid").alias("AnonID"), F.col("clickpos").alias("ClickPos"))
     return eda.report(table(spark, sf_dir, "documents").select(F.col("text").alias("content")), log)
@@ -611,7 +629,14 @@ def pool_union_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.pool(list(_hybrid(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE near AS ({_sql_dense(20)}),
+hit AS (SELECT n.qid, n.id, n.rank AS was, v.embedding::DOUBLE[] AS e, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS near FROM near n JOIN embeddings v ON v.vec_id = n.id JOIN embeddings q ON q.vec_id = n.qid),
+alike AS (SELECT a.qid, a.id, b.id AS other, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM hit a JOIN hit b USING (qid)),
+picked AS (SELECT qid, id, 1 AS rank, [id] AS chosen FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(0.5 * near, 9) DESC, was) AS n FROM hit) WHERE n = 1 UNION ALL
+    SELECT qid, id, rank + 1, list_append(chosen, id) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(0.5 * near - 0.5 * s, 9) DESC, was) AS n FROM (
+        SELECT p.qid, p.rank, p.chosen, h.id, h.was, h.near, max(a.s) AS s FROM picked p JOIN hit h ON h.qid = p.qid AND NOT list_contains(p.chosen, h.id) JOIN alike a ON a.qid = h.qid AND a.id = h.id AND list_contains(p.chosen, a.other)
+        WHERE p.rank < 10 GROUP BY ALL)) WHERE n = 1)
+SELECT qid, id, rank::INT AS rank FROM picked""")
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, asked = _vectors(spark, sf_dir), _asked(spark, sf_dir)
     return fusion.mmr(dense.search(v, asked, 20), v, asked)
@@ -787,7 +812,14 @@ def rewrite_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asks(spark, sf_dir).select("event_id", prompts.rewrite_prompt(F.col("query"), F.col("context"), F.col("user_profile")).alias("prompt"))
 
 
-@query()
+def _sql_keywords(c: str) -> str:
+    plain = c
+    for word in generation.FILLERS:
+        plain = f"replace({plain}, {q(word)}, ' ')"
+    return f"coalesce(nullif(array_to_string({sql_tokens(plain)}, ' '), ''), {sql_strip(c)})"
+
+
+@query(f"SELECT qid, query, CASE WHEN coalesce({sql_strip('query')}, '') = '' THEN query ELSE {_sql_keywords('line')} END AS rewritten FROM (SELECT qid, text AS query, regexp_extract({sql_strip('text')}, '^[^\\n]*') AS line FROM queries_dev)")
 def rewrite_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "queries_dev").select("qid", F.col("text").alias("query"))
     prompt = prompts.rewrite_prompt(F.col("query"), F.array().cast("array<string>"), F.lit(""))
