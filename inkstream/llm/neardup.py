@@ -35,6 +35,7 @@ from inkstream.llm.bitslice import near_across, near_in_buckets
 from inkstream.llm.codepoints import decode, encode, grams
 from inkstream.llm.folding import folder, without_markup
 from inkstream.llm.pairs import pairs_within
+from inkstream.operators.skew import join_hot
 from inkstream.session import cut
 
 SIGNATURE = 128
@@ -310,14 +311,17 @@ def similar(pairs: DataFrame, n: int, share: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(v, root)`` of all vertices of the edges ``(a, b)``; the root is the component's least vertex. Alternating stars, each round written."""
+    """``(v, root)`` of all vertices of the edges ``(a, b)``; the root is the component's least vertex. Alternating stars, each round written.
+
+    A vertex may have any number of edges: those of the busiest stay where they are when its least neighbour is joined to them.
+    """
     edges, before = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        star = edges.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        edges = join_hot(both.where("b > a"), low, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        star = join_hot(edges, low, ["a"], "n").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = cut(star.where("a <> b").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == before:
@@ -332,15 +336,19 @@ def near_duplicates(rows: DataFrame, id_col: str, text_col: str, n: int = 4, sha
     signed = separate(cut(sign(texts.where("text <> ''"), n, least, bands)))
     pairs = cut(candidates(signed, bands))
     of_text, hashes = signed.select("id", "rid").distinct(), signed.select("rid", "h1", "h2").distinct()
+    by_text = of_text.groupBy("rid").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    named = of_text.join(asked, "rid", "left_semi").groupBy("rid").agg(F.min("id").alias("id")).join(hashes, "rid")
+    named = by_text.join(asked, "rid", "left_semi").select("rid", F.col("least").alias("id")).join(hashes, "rid")
     folded = cut(fold_rows(texts.join(named, "id"), least).dropDuplicates(["rid"]))
     a, b = (folded.select(F.col("rid").alias(c), F.col("folded").alias(f"folded_{c}")) for c in "ab")
     links = cut(similar(pairs.join(a, "a").join(b, "b"), n, share))
     degree = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").cast("int").alias("n_links"))
-    group = of_text.join(components(links).withColumnRenamed("v", "rid"), "rid", "left").join(degree, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    least_id = group.groupBy("root").agg(F.min("id").alias("class_id"))
-    grouped = group.join(least_id, "root").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # a row per text until its class is known; then the rows of hot texts and of hot classes stay where they are
+    linked = components(links).withColumnRenamed("v", "rid").join(degree, "rid")
+    of_root = by_text.join(linked, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    roots = of_root.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("members"))
+    classes = cut(join_hot(of_root, roots, ["root"], "members").select("rid", "copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    grouped = join_hot(of_text, classes, ["rid"], "copies").select("id", "class_id", "n_links")
     alone = texts.select("id").distinct().join(of_text.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("class_id"), F.lit(0).alias("n_links"))
     return grouped.unionByName(alone)
 

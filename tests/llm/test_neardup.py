@@ -9,6 +9,7 @@ from inkstream.llm import neardup
 from inkstream.llm.bitslice import near_across, near_in_buckets
 from inkstream.llm.codepoints import fold_text
 from inkstream.llm.neardup import components, near_duplicates, pairs_of
+from inkstream.operators import skew
 
 
 def distance(a, b):
@@ -105,6 +106,25 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 104), 100)}
 
 
+@pytest.mark.parametrize("hub", [-1, 1000])
+def test_components_of_hot_vertices(spark, monkeypatch, hub):
+    monkeypatch.setattr(skew, "LEAST_HOT", 3)
+    edges = [(hub, i) for i in range(20)] + [(30, 31), (31, 32)]
+    got = {r["v"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: min(hub, 0) for i in [hub, *range(20)]} | {30: 30, 31: 30, 32: 30}
+
+
+def test_hot_copies_and_hot_class(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_HOT", 3)
+    rows = [(f"{i:03}", t) for i, t in enumerate(texts(60, 8))]
+    rows += [(f"c{i:03}", rows[0][1]) for i in range(30)]
+    got = near_duplicates(spark.createDataFrame(rows, "id string, text string"), "id", "text").collect()
+    assert len(got) == len(rows)
+    of = {r["id"]: (r["class_id"], r["n_links"]) for r in got}
+    assert all(of[f"c{i:03}"] == of["000"] for i in range(30))
+    assert {(a, b) for a, b in itertools.combinations(sorted(of), 2) if of[a][0] == of[b][0]} == brute(rows)
+
+
 def at_similarity(share, n, grams=200, seed=11):
     """``n`` pairs of random texts that have in common just the share of their four-character sequences, at least."""
     rng = random.Random(seed)
@@ -133,7 +153,6 @@ def test_share_without_a_plan():
 
 def test_pairs_of_a_hot_class(spark, monkeypatch):
     from inkstream.llm import pairs
-    from inkstream.operators import skew
 
     monkeypatch.setattr(pairs, "CELL", 4)
     monkeypatch.setattr(skew, "LEAST_HOT", 5)
